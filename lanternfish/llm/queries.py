@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lanternfish.llm import mixing, topk
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -21,5 +24,38 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op2_bpe": op2_bpe}
-ORACLE: dict[str, str] = {}
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.fingerprints import with_edits
+
+    return with_edits(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.take(table(spark, sf_dir, "documents"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.ngram_join import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.substring_dedup import remove_repeats
+
+    made = remove_repeats(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_ngram_join": op6_ngram_join, "op9_sharding": op9_sharding, "op10_substring_dedup": op10_substring_dedup}
+ORACLE = {"op4_mixing": mixing.ORACLE, "op5_topk": topk.ORACLE}
