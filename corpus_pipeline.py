@@ -1,15 +1,58 @@
-"""A training corpus in five stages: see STAGES."""
+"""A training corpus in five stages, each an operator of lanternfish.llm over all that the one before kept.
+
+1. quality: documents that the boosted trees score under 0.5 go.
+2. near_copies: of documents linked by five-word shingles at a similarity of 0.8
+   the one with the least doc_id stays. Rows with a null doc_id stay; rows that share
+   one doc_id stay or go together.
+3. repeats: passages of 35 words or more that stand elsewhere as well are cut
+   out; what is left of a changed text is joined by single spaces, n_chars follows.
+4. mixing: rows are repeated or left out so that sources meet their targets.
+5. tokens: ids of each row's text, their number and digests of ids and decoded text.
+
+Stages 1 to 4 return the columns of documents. Empty tables, null and empty texts
+go through all of them; each operator's docstring says with what result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lanternfish.llm import bpe, mixing, ngram_join, quality, queries, substring_dedup
+from lanternfish.llm.common import stored
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.good_documents(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = ngram_join.similar_groups(docs, k=5, num=4, den=5)
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    made = substring_dedup.remove_repeats(docs, keep=True)
+    length = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return made.withColumn("n_chars", length).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, queries.tokenizer_path(), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [("quality", keep_good), ("near_copies", drop_near_copies), ("repeats", cut_repeats), ("mixing", mix_sources), ("tokens", tokenize)]
+#: The stages' models and hashes are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"corpus-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

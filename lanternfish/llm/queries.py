@@ -44,6 +44,28 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.common import work_path
+    from lanternfish.llm.token_store import checksums, numbered, read_store, write_store
+
+    docs = table(spark, sf_dir, "documents")
+    path = work_path(spark, "token-store")
+    write_store(docs, path, tokenizer_path())
+    return checksums(read_store(spark, path, numbered(docs)))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanternfish.llm.sharding import assign
 
@@ -57,5 +79,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_ngram_join": op6_ngram_join, "op9_sharding": op9_sharding, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_token_store": op8_token_store, "op9_sharding": op9_sharding, "op10_substring_dedup": op10_substring_dedup}
 ORACLE = {"op4_mixing": mixing.ORACLE, "op5_topk": topk.ORACLE}
