@@ -199,6 +199,8 @@ class EdfReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known and lets filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(EdfSource)
 
 
