@@ -135,7 +135,7 @@ def with_edits(df: DataFrame) -> DataFrame:
     cuts = sorted(set(cuts or []))
     # Ranges in descending order: range r holds the ids over cuts[r] and up to the cut above; nulls are in the last.
     descending = F.array(*[F.lit(-c).cast("long") for c in reversed(cuts)]) if cuts else F.array().cast("array<long>")
-    place = F.coalesce(F.size(F.filter(descending, lambda c: c < -F.col("doc_id"))), F.lit(len(cuts))) if cuts else F.lit(0)
+    place = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(descending, lambda c: c < -F.col("doc_id")))) if cuts else F.lit(0)
     docs = docs.withColumn("r", place.cast("int"))
     tops = docs.select("doc_id", "r").groupBy("r").agg(F.max("doc_id").alias("top")).orderBy("r").collect()
     order = [t["r"] for t in tops]

@@ -24,6 +24,7 @@ columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 from itertools import count as counted
 
 import numpy as np
@@ -39,6 +40,8 @@ _PART = np.uint64(0xA24BAED4963EE407)
 _SUM = np.uint64(0x9FB21C651E98DF25)
 _PREFIX = np.uint64(0xE7037ED1A0B428DB)
 _SQUARE = 256
+#: At most this many rows of three numbers are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(column: pa.ChunkedArray, k: int) -> list[np.ndarray]:
@@ -78,9 +81,13 @@ class Bands:
         return int(np.searchsorted(self.high, n))
 
     def parts(self, band: int) -> tuple[int, int]:
-        """(parts, spare): linked sets of at most the band's size agree on spare + 1 parts or more."""
+        """(parts, spare): linked sets of at most the band's size agree on spare + 1 parts or more.
+
+        spare: the empty parts that hardly any set of the band exceeds.
+        """
         most = (self.den - self.num) * 2 * self.high[band] // (self.den + self.num)
-        spare = 0 if not most else 1 if most < 16 else 2
+        empty = (most + 1) * math.exp(-self.low[band] * self.num / self.den / (most + 1))
+        spare = int(empty + 4 * math.sqrt(empty) + 1) if most else 0
         return most + 1 + spare, spare
 
     def wanted(self, n: int) -> list[int]:
@@ -110,9 +117,9 @@ def tile_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Two bits for each shingle or more, a power of two in all; bit by the hash's low bits."""
+    """Four bits for each shingle or more, a power of two in all; bit by the hash's low bits."""
     width = 64
-    while width < 2 * len(s):
+    while width < 4 * len(s):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
@@ -200,9 +207,10 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     labels = None
     if not tiles.isEmpty():
         degree = stored(tiles.groupBy("s").agg(F.count("*").alias("d")), "classes")
+        tiles = distinct_tiles(tiles)
         sets = Sets(docs, degree, k, num, den)
         links = tested = None
-        for _ in range(3):
+        for _ in range(2):
             pairs = pivots(open_tiles(tiles, labels), degree, tested)
             if pairs.isEmpty():
                 break
@@ -223,6 +231,12 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     return of.join(least, "root", "left").select("doc_id", "n_shingles", "set_id", F.when(F.col("set_id") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def distinct_tiles(tiles: DataFrame) -> DataFrame:
+    """One tile of those that hold the same classes; near copies share most of their parts. Tiles are told apart by 128 bits and their size."""
+    print_ = tiles.groupBy("tile").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "s")).alias("y"))
+    return stored(tiles.join(print_.groupBy("n", "x", "y").agg(F.min("tile").alias("tile")).select("tile"), "tile", "left_semi"), "distinct-tiles")
+
+
 def open_tiles(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(tile, s, label) of the tiles that hold classes of several components."""
     if labels is None:
@@ -264,8 +278,9 @@ class Sets:
                         seen[i] = s
                 yield pa.RecordBatch.from_pydict({"s": pa.array(list(seen), pa.int64()), "n": pa.array([len(x) for x in seen.values()], pa.int64()), "a": pa.array([x.tobytes() for x in seen.values()], pa.binary()), "m": pa.array([bitmap(x) for x in seen.values()], pa.binary())})
 
-        # The filter lets some others pass; joins with pairs drop them.
-        self.all = stored(docs.select("doc_id", "text").mapInArrow(pick, "s long, n long, a binary, m binary").groupBy("s").agg(F.first("n").alias("n"), F.first("a").alias("a"), F.first("m").alias("m")), "sets")
+        # The filter lets some others pass; joins with pairs drop them. A class with copies far apart stands here several
+        # times, once for each batch of texts at most, which repeats a comparison and changes nothing.
+        self.all = stored(docs.select("doc_id", "text").mapInArrow(pick, "s long, n long, a binary, m binary"), "sets")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (s, p) that link. A pivot with many partners is dealt to several tasks."""
@@ -273,7 +288,9 @@ class Sets:
         groups = pairs.groupBy("p").agg(F.ceil(F.count("*") / 400).cast("int").alias("tasks"))
         members = pairs.join(groups, "p").select("s", F.col("p").alias("g"), F.pmod(F.hash("s"), "tasks").alias("t"))
         centres = groups.select(F.col("p").alias("s"), F.col("p").alias("g"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("t"))
-        rows = self.all.join(members.unionByName(centres), "s").withColumn("c", (F.col("s") == F.col("g")).cast("int"))
+        wanted = stored(members.unionByName(centres), "wanted")
+        # Ids go to where the sets are if they are few; else both are shuffled.
+        rows = self.all.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "s").withColumn("c", (F.col("s") == F.col("g")).cast("int"))
 
         def settle(batches):
             centre, g, t = None, None, None
@@ -292,7 +309,7 @@ class Sets:
                 yield pa.RecordBatch.from_pydict({"s": pa.array(s, pa.int64()), "p": pa.array(p, pa.int64())})
 
         rows = rows.repartition(self.n, "g", "t").sortWithinPartitions("g", "t", F.desc("c"))
-        return stored(rows.select("g", "t", "c", "s", "n", "a", "m").mapInArrow(settle, "s long, p long"), "links")
+        return stored(rows.select("g", "t", "c", "s", "n", "a", "m").mapInArrow(settle, "s long, p long").distinct(), "links")
 
     def unsettled(self, tiles: DataFrame, tested: DataFrame | None) -> DataFrame:
         """Pairs (s, p) of classes in different components that share a tile and whose bitmaps allow a link."""
@@ -301,7 +318,7 @@ class Sets:
         rows = tiles.join(sizes, "tile").withColumn("i", F.pmod(F.hash("s"), "cuts"))
         rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         rows = rows.select("tile", "s", "label", "i", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"))
-        rows = rows.join(self.all.select("s", "n", "m"), "s").repartition(self.n, "tile", "u", "v").sortWithinPartitions("tile", "u", "v")
+        rows = rows.join(self.all.select("s", "n", "m").dropDuplicates(["s"]), "s").repartition(self.n, "tile", "u", "v").sortWithinPartitions("tile", "u", "v")
 
         def compare(batches):
             held: list[tuple] = []

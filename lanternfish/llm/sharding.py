@@ -57,9 +57,10 @@ def assign(df: DataFrame, shards: int = 24, seed: int = 29, bucket_rows: int = B
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 24, seed: int = 29) -> None:
-    """Writes df's rows under path, one folder shard=k for each shard, in order of slot; columns as they are, then _slot.
+    """Writes df's rows under path, one folder shard=k for each shard, in order of slot; columns as they are, then slot.
 
-    Rows equal in doc_id and text share their places in any order.
+    Where df has columns of these names, the new ones get underscores after theirs. Rows equal in doc_id and text share their
+    places in any order.
     """
     names = [f"_x{i}" for i in range(len(df.columns))]
     at = dict(zip(df.columns, names, strict=True))
@@ -71,6 +72,6 @@ def write_shards(df: DataFrame, path: str, shards: int = 24, seed: int = 29) ->
     keyed = keyed.withColumn("_t", turn("_id", "_size", "_crc")).alias("d")
     plan = plan.withColumn("_t", F.row_number().over(Window.partitionBy("doc_id", "size", "text_crc32").orderBy("shard", "slot"))).alias("p")
     both = keyed.join(plan, F.col("d._id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._size") == F.col("p.size")) & (F.col("d._crc") == F.col("p.text_crc32")) & (F.col("d._t") == F.col("p._t")))
-    out = both.select(*(F.col(f"d.{x}").alias(x) for x in names), F.col("p.shard").alias("_shard"), F.col("p.slot").alias("_slot"))
-    out = out.repartition(shards, "_shard").sortWithinPartitions("_shard", "_slot")
-    out.withColumnsRenamed({x: c for c, x in at.items()}).withColumnRenamed("_shard", "shard").write.partitionBy("shard").parquet(path)
+    shard, slot = (next(n for n in (c + "_" * k for k in range(99)) if n not in df.columns) for c in ("shard", "slot"))
+    out = both.select(*(F.col(f"d.{x}").alias(c) for c, x in at.items()), F.col("p.shard").alias(shard), F.col("p.slot").alias(slot))
+    out.repartition(shards, shard).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
