@@ -36,7 +36,7 @@ from lanternfish.llm.common import documents, null_safe_crc, steps, tuned
 from lanternfish.llm.textops import LOWER, bytes_of, word_spans
 
 WORDS = 6
-GRAM = 5
+GRAM = 6
 #: Bytes of shared content put after each window: compression then pays for both dictionaries from the first match on.
 PRIMER = 48
 #: Gains from here on weigh alike.
@@ -116,7 +116,7 @@ def compressors(model: Model):
     return model.compressors()
 
 
-def contrast(toxic: list[bytes], ordinary: list[bytes], size: int, gram: int = GRAM, ratio: float = 40.0) -> bytes:
+def contrast(toxic: list[bytes], ordinary: list[bytes], size: int, gram: int = GRAM, ratio: float = 100.0) -> bytes:
     """Stretches of toxic documents that ordinary ones lack, the most frequent last, in at most size bytes."""
     seen = [Counter(), Counter()]
     for docs, count in ((toxic, seen[0]), (ordinary, seen[1])):
