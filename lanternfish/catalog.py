@@ -471,6 +471,64 @@ def hourly_windows(spark, sf_dir):
     return out.select("track", F.col("w.start").alias("start"), "n", "mean", "low", "high").withColumns(r6("mean", "low", "high"))
 
 
+@query(
+    """, b as (select p as pixel, cast(floor((1 + p / 100.0::double * 8) * 200) as bigint) as a, cast(floor((1 + (p + 1) / 100.0::double * 8) * 200) as bigint) as z from (select unnest(range(0, 100)) as p))
+select track, pixel, count(*) as n, round(arg_min(v, i), 6) + 0.0 as first, round(min(v), 6) + 0.0 as low, round(max(v), 6) + 0.0 as high, arg_min(i, (v, i)) as low_at from event_signal join b on i >= a and i < greatest(z, a + 1) group by track, pixel""",
+    "event_signal",
+)
+def pixel_envelope(spark, sf_dir):
+    from lanternfish.operators.display import View, pixel_traces
+
+    out = pixel_traces(V.event_signal(spark, sf_dir), V.FS, View(1.0, 8.0, 10.0), 100)
+    return out.select("track", F.col("pixel").cast("long").alias("pixel"), "n", "first", "low", "high", "low_at").withColumns(r6("first", "low", "high"))
+
+
+@query(
+    """, n as (select track, greatest(1, count(*) // 12000) as step from event_signal group by track), v as (select e.track, v from event_signal e join n on e.track = n.track where i % step = 0),
+b as (select track, list_sort(list(v))[count(*) // 2 + 1] as baseline from v group by track), d as (select v.track, baseline, list_sort(list(abs(v - baseline))) as d from v join b on v.track = b.track group by all)
+select track, round(baseline, 6) + 0.0 as baseline, round(greatest(1e-6, d[cast(floor(0.995 * (len(d) - 1)) as bigint) + 1] * 1.12, d[cast(floor(0.9 * (len(d) - 1)) as bigint) + 1] * 1.65, d[cast(floor(0.75 * (len(d) - 1)) as bigint) + 1] * 4), 6) + 0.0 as peak from d""",
+    "event_signal",
+)
+def ekg_profile(spark, sf_dir):
+    from lanternfish.operators.display import ekg_profile as profile
+
+    return profile(V.event_signal(spark, sf_dir)).select("track", "baseline", "peak").withColumns(r6("baseline", "peak"))
+
+
+@query(
+    """, n as (select track, greatest(1, count(*) // 6000) as step from signal group by track), v as (select e.track, list_sort(list(abs(v))) as d from signal e join n on e.track = n.track where i % step = 0 group by all),
+w as (select least(2000, greatest(1, floor(max(d[least(len(d), cast(floor(len(d) * 0.97) as bigint) + 1)]) * 2 / 10 + 0.5))) as w from v),
+p as (select unnest([1, 2, 3, 5, 7, 9, 10, 15, 20, 30, 50, 70, 100, 150, 200, 300, 500, 1000, 2000]) as p)
+select cast(arg_min(p, (abs(p - w), p)) as double) as uv from p, w""",
+    "signal",
+)
+def sensitivity_fit(spark, sf_dir):
+    from lanternfish.operators.display import fitted_sensitivity
+
+    return fitted_sensitivity(V.signal(spark, sf_dir).withColumn("kind", F.lit("eeg")))
+
+
+@query("""with c as (select s_suppkey, s_nationkey % 5 = 0 as mute, s_nationkey % 7 = 3 as solo from supplier) select s_suppkey as track from c where not mute and (solo or not (select coalesce(bool_or(solo), false) from c))""")
+def audible_tracks(spark, sf_dir):
+    c = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track"), (F.col("s_nationkey") % 5 == 0).alias("mute"), (F.col("s_nationkey") % 7 == 3).alias("solo"))
+    return G.audible(c)
+
+
+@query("""select id, l.track, round(greatest(start, 100000), 6) as x0, round(least("end", 400000), 6) as x1 from annotations a join (select unnest(range(0, 5)) as track) l on a.type = 'view' or a.track = l.track where "end" >= 100000 and start <= 400000""", "annotations")
+def lane_overlap(spark, sf_dir):
+    events = V.annotations(spark, sf_dir).withColumn("tracks", F.when(F.col("type") != "view", F.array("track"))).drop("track")
+    lanes = spark.range(5).select(F.col("id").alias("track"))
+    return I.overlapping_lanes(events, lanes, 100000.0, 400000.0).select("id", "track", "x0", "x1").withColumns(r6("x0", "x1"))
+
+
+@query("""select p_partkey, round(10 * log10(greatest(1e-20, p_retailprice / 1e6)), 6) as db, round(least(1, greatest(0, (10 * log10(greatest(1e-20, p_retailprice / 1e6)) + 40) / 20)), 6) + 0.0 as shade, case when p_size < 4 then 'delta' when p_size < 8 then 'theta' when p_size < 13 then 'alpha' when p_size < 30 then 'beta' else 'gamma' end as band,
+  round(440 * pow(2.0::double, (p_size - 69) / 12.0::double), 6) as hz from part""")
+def power_shades(spark, sf_dir):
+    t = V.table(spark, sf_dir, "part")
+    db = S.decibels(F.col("p_retailprice") / 1e6)
+    return t.select("p_partkey", db.alias("db"), S.unit_of(db, F.lit(-40.0), F.lit(-20.0)).alias("shade"), S.band_of(F.col("p_size")).alias("band"), S.midi_to_hz(F.col("p_size")).alias("hz")).withColumns(r6("db", "shade", "hz"))
+
+
 def recording(spark, sf_dir) -> DataFrame:
     """The dense tracks as one recording in array form."""
     from lanternfish.operators.tracks import to_arrays
