@@ -133,8 +133,8 @@ LABELS = ("EEG Fp1-REF", "EEG FP1-LE", "EEG T3", "EEG T5-REF", "T6", "FZ", "F4-R
 )
 def label_rules(spark, sf_dir):
     t = spark.createDataFrame([(x,) for x in LABELS], "label string")
-    c = F.col("label")
-    return t.select("label", L.canonical(c).alias("canonical"), L.laterality(c).alias("laterality"), L.kind(c, F.lit("uV")).alias("kind"), L.pan(L.laterality(c)).alias("pan"))
+    made = G.described(t.withColumn("unit", F.lit("uV")))
+    return made.select("label", "canonical", "laterality", "kind", L.pan(F.col("laterality")).alias("pan"))
 
 
 @query(

@@ -29,8 +29,9 @@ def pair_table(spark: SparkSession, pairs) -> DataFrame:
 
 def described(channels: DataFrame) -> DataFrame:
     """channels(idx, label, unit, fs) with canonical, laterality, kind, is_eeg."""
-    c = F.col("label")
-    return channels.withColumns({"canonical": labels.canonical(c), "laterality": labels.laterality(c), "kind": labels.kind(c, F.col("unit"))}).withColumn("is_eeg", F.col("kind") == "eeg")
+    c, key = F.col("label"), F.col("_key")
+    named = channels.withColumn("canonical", labels.canonical(c)).withColumn("_key", F.upper("canonical"))
+    return named.withColumns({"laterality": labels.laterality(c, key), "kind": labels.kind(c, F.col("unit"), key)}).withColumn("is_eeg", F.col("kind") == "eeg").drop("_key")
 
 
 def resolved(names: DataFrame, channels: DataFrame) -> DataFrame:

@@ -219,12 +219,12 @@ def recordings(spark: SparkSession, uri: str) -> DataFrame:
 
 def signals(spark: SparkSession, uri: str) -> DataFrame:
     """One row for each signal, with the factor that brings its unit to microvolts where its kind has one."""
-    from lanternfish.functions.labels import kind
+    from lanternfish.functions.labels import electrode_key, kind
 
     system, _ = opened(uri)
     rows = [(path, s["index"], s["label"], s["unit"], s["physical_min"], s["physical_max"], s["digital_min"], s["digital_max"], s["samples_per_record"], s["fs"], s["is_annotation"]) for path in files_of(uri) for s in header_of(system, path).signals]
     df = spark.createDataFrame(rows, "recording string, signal_index int, label string, unit string, phys_min double, phys_max double, dig_min int, dig_max int, samples_per_record int, fs double, is_annotation boolean")
-    df = df.withColumn("kind", kind(F.col("label"), F.col("unit")))
+    df = df.withColumn("_key", electrode_key(F.col("label"))).withColumn("kind", kind(F.col("label"), F.col("unit"), F.col("_key"))).drop("_key")
     return df.withColumn("unit_scale", unit_scale(F.col("unit"), F.col("kind")))
 
 
