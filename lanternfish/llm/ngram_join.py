@@ -40,6 +40,8 @@ _PART = np.uint64(0xA24BAED4963EE407)
 _SUM = np.uint64(0x9FB21C651E98DF25)
 _PREFIX = np.uint64(0xE7037ED1A0B428DB)
 _SQUARE = 256
+#: Bytes of text whose sets are in memory at once.
+STEP = 3 << 20
 #: At most this many rows of three numbers are broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -160,7 +162,7 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
 
     def keys(batches):
         bands = Bands(num, den)
-        for serial, table in zip(counted(), steps(batches)):
+        for serial, table in zip(counted(), steps(batches, STEP)):
             sets = shingle_sets(table["text"], k)
             ids = np.array([set_id(s) for s in sets], np.int64)
             own = {int(i): s for i, s in zip(ids, sets, strict=True) if i}
@@ -270,7 +272,7 @@ class Sets:
 
         def pick(batches):
             words = filter_.value
-            for table in steps(batches):
+            for table in steps(batches, STEP):
                 seen: dict[int, np.ndarray] = {}
                 for s in shingle_sets(table["text"], k):
                     i = set_id(s)
@@ -283,33 +285,43 @@ class Sets:
         self.all = stored(docs.select("doc_id", "text").mapInArrow(pick, "s long, n long, a binary, m binary"), "sets")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (s, p) that link. A pivot with many partners is dealt to several tasks."""
+        """Those of the pairs (s, p) that link: bitmaps rule most others out, the sets themselves go to the rest only."""
         num, den = self.num, self.den
+
+        def may(a, b):
+            return bound(a[1], b[1], a[0], b[0]) * (den + num) >= num * (a[0] + b[0])
+
+        def do(a, b):
+            return links_with(np.frombuffer(a[1], np.uint64), np.frombuffer(b[1], np.uint64), num, den)
+
+        return self.compared(self.compared(pairs, "m", may), "a", do)
+
+    def compared(self, pairs: DataFrame, column: str, agree) -> DataFrame:
+        """The pairs whose (n, column) agree. A pivot with many partners is dealt to several tasks."""
         groups = pairs.groupBy("p").agg(F.ceil(F.count("*") / 400).cast("int").alias("tasks"))
         members = pairs.join(groups, "p").select("s", F.col("p").alias("g"), F.pmod(F.hash("s"), "tasks").alias("t"))
         centres = groups.select(F.col("p").alias("s"), F.col("p").alias("g"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("t"))
         wanted = stored(members.unionByName(centres), "wanted")
         # Ids go to where the sets are if they are few; else both are shuffled.
-        rows = self.all.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "s").withColumn("c", (F.col("s") == F.col("g")).cast("int"))
+        rows = self.all.select("s", "n", F.col(column).alias("x")).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "s").withColumn("c", (F.col("s") == F.col("g")).cast("int"))
 
         def settle(batches):
             centre, g, t = None, None, None
             for batch in batches:
                 s, p = [], []
-                for row in zip(*(batch.column(c).to_pylist() for c in ("g", "t", "c", "s", "n", "a", "m")), strict=True):
+                for row in zip(*(batch.column(c).to_pylist() for c in ("g", "t", "c", "s", "n", "x")), strict=True):
                     if row[2]:
-                        g, t, centre = row[0], row[1], (row[4], np.frombuffer(row[5], np.uint64), row[6])
+                        g, t, centre = row[0], row[1], row[4:]
                         continue
                     if (row[0], row[1]) != (g, t):
                         raise RuntimeError("a class came before its pivot")
-                    size, a, m = centre
-                    if bound(m, row[6], size, row[4]) * (den + num) >= num * (size + row[4]) and links_with(a, np.frombuffer(row[5], np.uint64), num, den):
+                    if agree(centre, row[4:]):
                         s.append(row[3])
                         p.append(g)
                 yield pa.RecordBatch.from_pydict({"s": pa.array(s, pa.int64()), "p": pa.array(p, pa.int64())})
 
         rows = rows.repartition(self.n, "g", "t").sortWithinPartitions("g", "t", F.desc("c"))
-        return stored(rows.select("g", "t", "c", "s", "n", "a", "m").mapInArrow(settle, "s long, p long").distinct(), "links")
+        return stored(rows.select("g", "t", "c", "s", "n", "x").mapInArrow(settle, "s long, p long").distinct(), "links")
 
     def unsettled(self, tiles: DataFrame, tested: DataFrame | None) -> DataFrame:
         """Pairs (s, p) of classes in different components that share a tile and whose bitmaps allow a link."""
