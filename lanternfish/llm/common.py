@@ -7,6 +7,8 @@ names, never through a machine-local folder of a cluster.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one packed block or one vectorised step holds, about.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 _LOCAL: dict[str, str] = {}
 
@@ -59,6 +61,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files of finished jobs now; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most ``most`` rows; of a few numbers each, they take some tens of MB. Else it is shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def parts(spark: SparkSession) -> int:
     """How many partitions a shuffle has; the cluster's setting, which must follow the size of its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -95,6 +108,17 @@ def steps(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterato
                 held, total = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+        held = []
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on between stages and share an executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a C library that keeps it
+        pass
 
 
 def to_blob(table: pa.Table) -> bytes:
@@ -105,6 +129,7 @@ def to_blob(table: pa.Table) -> bytes:
 
 
 def from_blob(blob) -> pa.Table:
+    trim()
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all().combine_chunks()
 
 

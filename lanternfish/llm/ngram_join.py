@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import parts, steps, stored, tuned
+from lanternfish.llm.common import drop_path, few, parts, release, steps, stored, tuned
 from lanternfish.llm.components import connected
 from lanternfish.llm.textops import LOWER, bytes_of, mixed, sequence_hashes, word_hashes, word_spans
 
@@ -42,8 +42,6 @@ _PREFIX = np.uint64(0xE7037ED1A0B428DB)
 _SQUARE = 256
 #: Bytes of text whose sets are in memory at once.
 STEP = 3 << 20
-#: At most this many rows of three numbers are broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(column: pa.ChunkedArray, k: int) -> list[np.ndarray]:
@@ -204,6 +202,7 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
         return pa.table({"kind": pa.array([1] * len(h) + [0] * len(d), pa.int32()), "x": pa.concat_arrays([pa.array(h), pa.array(d, pa.int64())]), "y": pa.concat_arrays([pa.array(s), pa.array(sizes, pa.int64())]), "z": pa.concat_arrays([pa.nulls(len(h), pa.int64()), pa.array(ids)])})
 
     met = stored(docs.mapInArrow(keys, "_k long, _h binary, _s binary, _d array<long>, _n array<long>").groupBy("_k").applyInArrow(meet, "kind int, x long, y long, z long"), "tiles")
+    release(spark)
     of = met.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("set_id"))
     tiles = met.where("kind = 1").select(F.col("x").alias("tile"), F.col("y").alias("s"))
     labels = None
@@ -224,6 +223,8 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
         if not pairs.isEmpty():
             links = links.unionByName(sets.linked(pairs))
             labels = connected(links.select(F.col("s").alias("a"), F.col("p").alias("b")))
+        drop_path(spark, sets.all._stored_at)
+        release(spark)
     # A class's documents first, then the least document of each component.
     if labels is None:
         of = of.withColumn("root", F.col("set_id"))
@@ -303,7 +304,7 @@ class Sets:
         centres = groups.select(F.col("p").alias("s"), F.col("p").alias("g"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("t"))
         wanted = stored(members.unionByName(centres), "wanted")
         # Ids go to where the sets are if they are few; else both are shuffled.
-        rows = self.all.select("s", "n", F.col(column).alias("x")).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "s").withColumn("c", (F.col("s") == F.col("g")).cast("int"))
+        rows = self.all.select("s", "n", F.col(column).alias("x")).join(few(wanted), "s").withColumn("c", (F.col("s") == F.col("g")).cast("int"))
 
         def settle(batches):
             centre, g, t = None, None, None
