@@ -4,8 +4,10 @@ Texts are lower-cased (A-Z), everything but letters becomes a space, and windows
 of a fixed number of words are compressed twice. The ordinary dictionary is
 trained by zstandard on windows of ordinary documents. The toxic one ends with
 the same content and has before it what toxic documents have and ordinary ones
-lack: the stretches covered by byte sequences that are far more frequent in toxic
-documents. So a window is shorter with the toxic dictionary only by what it
+lack: the stretches covered by byte sequences that are more frequent in toxic
+documents by a log-likelihood ratio and a smoothed quotient. Both follow the sizes of
+the two samples, and their bounds are chosen by validation within the labelled sample.
+So a window is shorter with the toxic dictionary only by what it
 shares with toxic text. Each number of bytes gained has a calibrated weight, the
 log of how much more frequent it is in toxic documents; the document's sum of
 weights goes through a logistic curve around a calibrated threshold. One part of
@@ -42,6 +44,9 @@ PRIMER = 48
 #: Gains from here on weigh alike.
 MOST = 12
 SAMPLE = 2500
+#: Bounds of the toxic dictionary's sequences to choose from: of the log-likelihood ratio, with the middle one of the others; then of how many times as frequent.
+LEAST = (320.0, 160.0, 80.0, 40.0, 25.0, 16.0, 10.0)
+TIMES = (100.0, 30.0, 8.0, 3.0)
 _KEPT = np.full(256, 32, np.uint8)
 for _b in range(256):
     if 97 <= int(LOWER[_b]) <= 122 or _b >= 128:
@@ -116,49 +121,104 @@ def compressors(model: Model):
     return model.compressors()
 
 
-def contrast(toxic: list[bytes], ordinary: list[bytes], size: int, gram: int = GRAM, ratio: float = 100.0) -> bytes:
-    """Stretches of toxic documents that ordinary ones lack, the most frequent last, in at most size bytes."""
-    seen = [Counter(), Counter()]
-    for docs, count in ((toxic, seen[0]), (ordinary, seen[1])):
-        for d in docs:
-            count.update({d[i : i + gram] for i in range(len(d) - gram + 1)})
-    least = max(4, len(toxic) / 80)
-    good = {g for g, n in seen[0].items() if n >= least and n * len(ordinary) >= ratio * (seen[1][g] + 1) * len(toxic)}
-    stretches: Counter = Counter()
-    for d in toxic:
-        i, n = 0, len(d) - gram + 1
-        while i < n:
-            counts = []
-            while i < n and (g := d[i : i + gram]) in good:
-                counts.append(seen[0][g])
+def evidence(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts a in n toxic and b in m ordinary documents: the log-likelihood ratio (0 if ordinary ones have more), and how many times as frequent, smoothed by half a document."""
+
+    def part(seen, expected):
+        return seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300))
+
+    share = (a + b) / (n + m)
+    g = 2 * (part(a, n * share) + part(b, m * share) + part(n - a, n * (1 - share)) + part(m - b, m * (1 - share)))
+    return np.where(a * m > b * n, g, 0.0), (a + 0.5) / (n + 1) * (m + 1) / (b + 0.5)
+
+
+class Contrast:
+    """How many toxic and ordinary documents have each byte sequence of the toxic ones, and what tells them apart."""
+
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes], gram: int = GRAM):
+        self.toxic, self.gram = toxic, gram
+        self.seen: Counter = Counter()
+        for d in toxic:
+            self.seen.update(self.of(d))
+        other: Counter = Counter()
+        for d in ordinary:
+            other.update(self.of(d) & self.seen.keys())
+        self.grams = list(self.seen)
+        a = np.fromiter(self.seen.values(), float, len(self.grams))
+        b = np.fromiter((other[g] for g in self.grams), float, len(self.grams))
+        self.ratio, self.times = evidence(a, b, len(toxic), len(ordinary))
+
+    def of(self, d: bytes) -> set[bytes]:
+        return {d[i : i + self.gram] for i in range(len(d) - self.gram + 1)}
+
+    def stretches(self, size: int, least: float, times: float) -> bytes:
+        """Stretches of toxic documents whose sequences pass both bounds, the most frequent last, in at most size bytes."""
+        seen, gram = self.seen, self.gram
+        good = {self.grams[k] for k in np.flatnonzero((self.ratio >= least) & (self.times >= times)).tolist()}
+        stretches: Counter = Counter()
+        for d in self.toxic if good else []:
+            i, n = 0, len(d) - gram + 1
+            while i < n:
+                counts = []
+                while i < n and (g := d[i : i + gram]) in good:
+                    counts.append(seen[g])
+                    i += 1
+                if counts:
+                    # Sequences at a stretch's ends that are much rarer hold chance neighbours.
+                    k = counts.index(max(counts))
+                    a = b = k
+                    while a and 2 * counts[a - 1] >= counts[k]:
+                        a -= 1
+                    while b + 1 < len(counts) and 2 * counts[b + 1] >= counts[k]:
+                        b += 1
+                    at = i - len(counts)
+                    stretches[d[at + a : at + b + gram]] += 1
                 i += 1
-            if counts:
-                # Sequences at a stretch's ends that are much rarer hold chance neighbours.
-                k = counts.index(max(counts))
-                a = b = k
-                while a and 2 * counts[a - 1] >= counts[k]:
-                    a -= 1
-                while b + 1 < len(counts) and 2 * counts[b + 1] >= counts[k]:
-                    b += 1
-                at = i - len(counts)
-                stretches[d[at + a : at + b + gram]] += 1
-            i += 1
-    out: list[bytes] = []
-    room = size
-    for s, n in sorted(stretches.items(), key=lambda x: (-x[1], x[0])):
-        if n < least or len(s) > room:
-            continue
-        if any(s in t or t in s for t in out):  # what one adds to another is chance
-            continue
-        out.append(s)
-        room -= len(s)
-    return b"".join(reversed(out))
+        out: list[bytes] = []
+        room, held = size, set()
+        for s, _ in sorted(stretches.items(), key=lambda x: (-x[1], x[0])):
+            own = self.of(s)
+            # Nothing new, or what one adds to another is chance.
+            if len(s) <= room and not own <= held and not any(t in s for t in out):
+                out.append(s)
+                held |= own
+                room -= len(s)
+        return b"".join(reversed(out))
+
+
+def best_middle(sums: np.ndarray, truth: np.ndarray, weight: float) -> tuple[float, float]:
+    """(F, middle) of the threshold on sums with the greatest F."""
+    best = (0.0, 1.0)
+    for middle in np.unique(np.round(sums, 3)):
+        said = sums >= middle
+        f = 2 * (said & truth).sum() / max(1, (said & truth).sum() + weight * (said & ~truth).sum() + truth.sum())
+        if middle > 0 and f > best[0] + 1e-9:
+            best = (f, (middle + sums[sums < middle].max(initial=0.0)) / 2)
+    return best
+
+
+def validated(model: Model, gains: np.ndarray, at: np.ndarray, truth: np.ndarray, weight: float) -> float:
+    """F over documents whose weights and threshold come from the other half of them."""
+    said = np.zeros(len(truth), bool)
+    # Halves of either label.
+    half = np.zeros(len(truth), int)
+    for y in (False, True):
+        half[truth == y] = np.arange((truth == y).sum()) % 2
+    row = np.repeat(half, np.diff(at))
+    for k in (0, 1):
+        own, rest = half == k, half != k
+        first = [np.concatenate([[0], np.cumsum(np.diff(at)[x])]) for x in (own, rest)]
+        model.weigh(gains[row != k], first[1], truth[rest], weight)
+        _, middle = best_middle(model.sums(gains[row != k], first[1]), truth[rest], weight)
+        said[own] = model.sums(gains[row == k], first[0]) >= middle
+    return 2 * (said & truth).sum() / max(1, (said & truth).sum() + weight * (said & ~truth).sum() + truth.sum())
 
 
 def fit(texts: list[str], toxic: list[int], weight: float = 1.0, size: int = 16_384) -> Model:
     """From labelled texts: every third one, in the order given, sets the thresholds, the others train the dictionaries.
 
     weight: how many ordinary documents one ordinary document of the sample stands for, if a toxic one stands for one.
+    Of the toxic dictionary's bounds (LEAST, TIMES) those count that serve best on the third that trains no dictionary.
     """
     cut, first = windows(pa.array(texts, pa.string()))
     docs = [b"".join(w[:-1] for w in cut[a:b]) + b" " for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
@@ -171,19 +231,30 @@ def fit(texts: list[str], toxic: list[int], weight: float = 1.0, size: int = 16_
         base = zstandard.train_dictionary(size, plain).as_bytes()[-size // 2 :]
     except zstandard.ZstdError:  # too little text to train on: the text itself
         base = b"".join(plain)[-size // 2 :]
-    own = contrast([docs[i] for i in np.flatnonzero(learn & y)], [docs[i] for i in np.flatnonzero(learn & ~y)], size // 2)
-    model = Model(base or b" ", (own + base) or b" ")
+    base = base or b" "
+    found = Contrast([docs[i] for i in np.flatnonzero(learn & y)], [docs[i] for i in np.flatnonzero(learn & ~y)])
     test = np.flatnonzero(~learn)
-    gains, at = model.gains(pa.array([texts[i] for i in test], pa.string()))
-    truth = y[test]
+    held, truth = pa.array([texts[i] for i in test], pa.string()), y[test]
+    tried: dict[bytes, float] = {}
+    best: tuple = (-1.0,)
+
+    def attempt(least: float, times: float) -> None:
+        nonlocal best
+        own = found.stretches(size // 2, least, times)
+        if own not in tried:
+            model = Model(base, own + base)
+            gains, at = model.gains(held)
+            tried[own] = validated(model, gains, at, truth, weight)
+            if tried[own] > best[0] + 1e-9:
+                best = (tried[own], least, model, gains, at)
+
+    for least in LEAST:
+        attempt(least, 30.0)
+    for times in TIMES:
+        attempt(best[1], times)
+    _, _, model, gains, at = best
     model.weigh(gains, at, truth, weight)
-    sums, best = model.sums(gains, at), (0.0, 1.0)
-    for middle in np.unique(np.round(sums, 3)):
-        said = sums >= middle
-        f = 2 * (said & truth).sum() / max(1, (said & truth).sum() + weight * (said & ~truth).sum() + truth.sum())
-        if middle > 0 and f > best[0] + 1e-9:
-            best = (f, (middle + sums[sums < middle].max(initial=0.0)) / 2)
-    model.middle, model.slope = best[1], 4.0
+    model.middle, model.slope = best_middle(model.sums(gains, at), truth, weight)[1], 4.0
     return model
 
 

@@ -265,6 +265,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs, marks.limit(0)).where("score < 0.5").count() == 1203 and toxicity.score(docs.limit(0), marks).count() == 0
 
 
+def test_toxic_wording_in_few_documents_of_a_small_sample():
+    import pyarrow as pa
+
+    r, bad = random.Random(4), [f"{a}x{b}qv" for a in ("zor", "wub", "kif", "jal", "pov") for b in ("an", "ek", "il", "ot")]
+
+    def make(k, y):
+        w = words(r, 40)
+        if y:  # each word is in one toxic document of twenty
+            w[5::12] = [bad[k % 20]] * len(w[5::12])
+        return " ".join(w)
+
+    # Shuffled, so that the third that sets the thresholds has all of the words.
+    known = [(make(k, y), y) for k in range(240) for y in (0, 1)]
+    r.shuffle(known)
+    model = toxicity.fit([t for t, _ in known], [y for _, y in known])
+    assert len(model.toxic) > len(model.ordinary)
+    fresh = [(make(k, y), y) for k in range(100) for y in (0, 1)]
+    said = model.scores(model.sums(*model.gains(pa.array([t for t, _ in fresh])))) >= 0.5
+    truth = np.array([y for _, y in fresh], bool)
+    assert (said & truth).sum() >= 95 and (said & ~truth).sum() <= 5
+
+
 def test_token_store(spark, docs, none, tokenizer):
     from tokenizers import Tokenizer
 
