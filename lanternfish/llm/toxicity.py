@@ -226,7 +226,7 @@ def fit(texts: list[str], toxic: list[int], weight: float = 1.0, size: int = 16_
     learn = np.arange(len(y)) % 3 != 0
     if not (y & learn).any() or not (~y & learn).any() or not (y & ~learn).any():
         return Model(b" ", b" ", slope=0.0, middle=0.0) if y.any() and not y.all() else Model(b" ", b" ", slope=30.0, middle=1.0)
-    plain = [w for i in np.flatnonzero(learn & ~y) for w in cut[first[i] : first[i + 1]]][:60_000]
+    plain = [w for i in np.flatnonzero(learn & ~y) for w in cut[first[i] : first[i + 1]]]
     try:
         base = zstandard.train_dictionary(size, plain).as_bytes()[-size // 2 :]
     except zstandard.ZstdError:  # too little text to train on: the text itself

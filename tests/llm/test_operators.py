@@ -287,6 +287,17 @@ def test_toxic_wording_in_few_documents_of_a_small_sample():
     assert (said & truth).sum() >= 95 and (said & ~truth).sum() <= 5
 
 
+def test_all_ordinary_windows_train_the_dictionary(monkeypatch):
+    seen = []
+    train = toxicity.zstandard.train_dictionary
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, plain: seen.append(len(plain)) or train(size, plain[:2000]))
+    r = random.Random(6)
+    texts = [" ".join(words(r, 50) * 300) for _ in range(60)]
+    toxicity.fit(texts, [k % 4 == 1 for k in range(60)])
+    learn = [k for k in range(60) if k % 3 and k % 4 != 1]
+    assert seen == [2500 * len(learn)] and seen[0] > 60_000
+
+
 def test_token_store(spark, docs, none, tokenizer):
     from tokenizers import Tokenizer
 
