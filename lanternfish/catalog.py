@@ -614,7 +614,7 @@ def refractory_fold(spark, sf_dir):
 
 @query()
 def render_pcm(spark, sf_dir):
-    """Rows only: sound at 8 kHz of the first second of one track."""
-    f = W.features(V.signal(spark, sf_dir).where("track = 0"), V.FS, 50, 0.0, 1.0)
+    """Rows only: sound at 8 kHz of all tracks, by regions of 30 s."""
+    f = W.region_features(V.signal(spark, sf_dir), V.FS, 50)
     e = M.styled(M.mapped(f), "loui-soft-v1").withColumns({"start": F.col("sample_start") / V.FS, "end": F.col("sample_end") / V.FS})
-    return M.rendered(e, 8000, 0.0, 1.0)
+    return M.rendered_regions(e, 8000)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish.functions.scalars import equal_power, pentatonic_hz, scale_offset, velocity
@@ -46,15 +46,36 @@ def scale_events(samples: DataFrame, size: int = 2560, stride: int = 20) -> Data
 
 def rendered(events: DataFrame, rate: int, start: float = 0.0, end: float = 30.0) -> DataFrame:
     """(i, left, right): events(start, end, hz, amplitude, pan, wave) as sound, each a tone under half a sine, summed and kept under 0.89."""
-    length = int(-(-(end - start) * rate // 1))
-    at = events.withColumns({"a": F.greatest(F.lit(0), F.floor((F.col("start") - start) * rate)), "b": F.least(F.lit(length), F.ceil((F.col("end") - start) * rate))}).where("a < b")
+    mixed = _mixed(events.withColumns({"start": F.col("start") - start, "end": F.col("end") - start}), rate, end - start, "i")
+    peak = mixed.agg(F.coalesce(F.max(F.greatest(F.abs("left"), F.abs("right"))), F.lit(0.0)).alias("peak"))
+    return _limited(mixed.crossJoin(F.broadcast(peak)), "i")
+
+
+def rendered_regions(events: DataFrame, rate: int, seconds: float = 30.0) -> DataFrame:
+    """(region, i, left, right): rendered() of each region's events, with i and the peak its own.
+
+    A region is dealt to one task as events and stays there; its at most 30 s bound what that task holds.
+    """
+    seconds = min(seconds, 30.0)
+    at = {x: F.col(x) - F.col("region") * seconds for x in ("start", "end")}
+    mixed = _mixed(events.repartition("region").withColumns(at), rate, seconds, "region", "i")
+    peak = F.max(F.greatest(F.abs("left"), F.abs("right"))).over(Window.partitionBy("region"))
+    return _limited(mixed.withColumn("peak", peak), "region", "i")
+
+
+def _mixed(events: DataFrame, rate: int, seconds: float, *keys: str) -> DataFrame:
+    """(*keys, left, right): the sum of tones from 0 to seconds."""
+    length = int(-(-seconds * rate // 1))
+    at = events.withColumns({"a": F.greatest(F.lit(0), F.floor(F.col("start") * rate)), "b": F.least(F.lit(length), F.ceil(F.col("end") * rate))}).where("a < b")
     tones = at.withColumn("i", F.explode(F.sequence(F.col("a"), F.col("b") - 1)))
     k = F.col("i") - F.col("a")
     phase = 2 * F.pi() * F.col("hz") * (k / rate)
     tone = F.when(F.col("wave") == "pulse", F.when(F.sin(phase) >= 0, 1.0).otherwise(-1.0)).when(F.col("wave") == "soft-sine", F.sin(phase) + 0.18 * F.sin(phase * 2)).otherwise(F.sin(phase))
     sound = tone * F.sin(F.pi() * k / F.greatest(F.lit(1), F.col("b") - F.col("a") - 1)) * F.col("amplitude")
     gl, gr = equal_power(F.col("pan"))
-    mixed = tones.groupBy("i").agg(F.sum(sound * gl).alias("left"), F.sum(sound * gr).alias("right"))
-    peak = mixed.agg(F.coalesce(F.max(F.greatest(F.abs("left"), F.abs("right"))), F.lit(0.0)).alias("peak"))
+    return tones.groupBy(*keys).agg(F.sum(sound * gl).alias("left"), F.sum(sound * gr).alias("right"))
+
+
+def _limited(mixed: DataFrame, *keys: str) -> DataFrame:
     gain = F.when(F.col("peak") > 0.89, F.lit(0.89) / F.col("peak")).otherwise(1.0)
-    return mixed.crossJoin(F.broadcast(peak)).select("i", (F.col("left") * gain).alias("left"), (F.col("right") * gain).alias("right"))
+    return mixed.select(*keys, (F.col("left") * gain).alias("left"), (F.col("right") * gain).alias("right"))

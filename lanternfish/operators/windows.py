@@ -100,10 +100,20 @@ def features(samples: DataFrame, fs: float, size: int, start: float = 0.0, end:
     """(track, window, sample_start, sample_end, mean, rms, line_length, scale) of windows of a region; scale: the region's largest magnitude."""
     first, last = int(-(-start * fs // 1)), int(-(-min(end, start + 30.0) * fs // 1))
     region = samples.where((F.col("i") >= first) & (F.col("i") < last))
-    keyed = region.withColumn("window", F.floor((F.col("i") - first) / size))
-    step = F.abs(F.col("v") - F.lag("v").over(in_order("track", "window")))
-    out = keyed.withColumn("step", F.coalesce(step, F.lit(0.0))).groupBy("track", "window").agg(F.min("i").alias("sample_start"), (F.max("i") + 1).alias("sample_end"), F.avg("v").alias("mean"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"), F.sum("step").alias("line_length"), F.max(F.abs("v")).alias("peak"))
-    scale = F.greatest(F.max("peak").over(Window.partitionBy("track")), F.lit(1e-12))
+    return _features(region.withColumn("window", F.floor((F.col("i") - first) / size)), "track")
+
+
+def region_features(samples: DataFrame, fs: float, size: int, seconds: float = 30.0) -> DataFrame:
+    """features() of all samples: (track, region, window, sample_start, …) by consecutive regions of at most 30 s; windows and scale are each region's own."""
+    span = int(-(-min(seconds, 30.0) * fs // 1))
+    keyed = samples.withColumn("region", F.floor(F.col("i") / span))
+    return _features(keyed.withColumn("window", F.floor((F.col("i") - F.col("region") * span) / size)), "track", "region")
+
+
+def _features(keyed: DataFrame, *keys: str) -> DataFrame:
+    step = F.abs(F.col("v") - F.lag("v").over(in_order(*keys, "window")))
+    out = keyed.withColumn("step", F.coalesce(step, F.lit(0.0))).groupBy(*keys, "window").agg(F.min("i").alias("sample_start"), (F.max("i") + 1).alias("sample_end"), F.avg("v").alias("mean"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"), F.sum("step").alias("line_length"), F.max(F.abs("v")).alias("peak"))
+    scale = F.greatest(F.max("peak").over(Window.partitionBy(*keys)), F.lit(1e-12))
     return out.withColumn("scale", scale).drop("peak")
 
 

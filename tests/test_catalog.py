@@ -36,3 +36,25 @@ def test_query_agrees_with_sql(spark, sf, db, name):
 @pytest.mark.parametrize("name", ["iir_zero_phase", "screening_evaluations", "deterministic_annotations", "refractory_fold"])
 def test_queries_without_sql_give_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_render_pcm_sounds_every_sample_of_every_track(spark, sf):
+    import numpy as np
+
+    from lanternfish.operators import mapping as M
+    from lanternfish.operators import windows as W
+    from lanternfish.plans import views as V
+
+    n = {r["track"]: r["n"] for r in V.signal(spark, sf).groupBy("track").count().withColumnRenamed("count", "n").collect()}
+    got = QUERIES["render_pcm"](spark, sf).toPandas()
+    assert len(got) == max(n.values()) * 8000 // 200 == len(got[["region", "i"]].drop_duplicates())
+    assert got[["left", "right"]].abs().to_numpy().max() <= 0.89 + 1e-9
+    # Region by region and track by track it is what one region's rendering gives.
+    s = spark.createDataFrame([(t, i, float((i * (t + 3)) % 17 - 8) * (1 + i // 200)) for t in range(3) for i in range(500 - 90 * t)], "track long, i long, v double")
+    at = {"start": W.F.col("sample_start") / 200.0, "end": W.F.col("sample_end") / 200.0}
+    made = M.rendered_regions(M.mapped(W.region_features(s, 200.0, 50, 1.0)).withColumns(at), 1000, 1.0).toPandas()
+    for k in range(3):
+        own = made[made.region == k].sort_values("i")
+        f = W.features(s, 200.0, 50, float(k), float(k + 1))
+        want = M.rendered(M.mapped(f).withColumns(at), 1000, float(k), float(k + 1)).toPandas().sort_values("i")
+        assert len(own) and own.i.tolist() == want.i.tolist() and np.allclose(own[["left", "right"]], want[["left", "right"]])
