@@ -91,10 +91,8 @@ class Bands:
         return most + 1 + spare, spare
 
     def wanted(self, n: int) -> list[int]:
-        """The bands in which a set of n meets those it can link with: its own and, if it is large enough, the next."""
-        own = self.of(n)
-        self.of(self.high[own] + 1)
-        return [own] + [own + 1] * (n * self.den >= self.low[own + 1] * self.num)
+        """The bands in which a set of n meets those it can link with: from its own to that of the largest such set."""
+        return list(range(self.of(n), self.of(n * self.den // self.num) + 1))
 
 
 def tile_keys(s: np.ndarray, bands: Bands) -> np.ndarray:

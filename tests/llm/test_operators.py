@@ -265,6 +265,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs, marks.limit(0)).where("score < 0.5").count() == 1203 and toxicity.score(docs.limit(0), marks).count() == 0
 
 
+def test_linked_sets_share_a_tile_at_low_thresholds():
+    rng = np.random.default_rng(5)
+    for num, den in ((1, 2), (1, 3), (3, 5), (2, 3), (5, 7), (85, 100)):
+        bands = ngram_join.Bands(num, den)
+        for n in (1, 2, 3, 4, 7, 12, 33, 40, 150):
+            large = np.sort(rng.choice(1 << 62, n * den // num, replace=False).astype(np.uint64))
+            small = np.sort(rng.choice(large, n, replace=False))  # as unequal in size as linked sets can be
+            assert set(ngram_join.tile_keys(small, bands).tolist()) & set(ngram_join.tile_keys(large, bands).tolist()), (num, den, n)
+
+
 def test_toxic_wording_in_few_documents_of_a_small_sample():
     import pyarrow as pa
 
