@@ -1,22 +1,28 @@
 """Toxicity by compression distance: zstandard with a dictionary of ordinary text against one of toxic text.
 
-Texts are lower-cased (A-Z), everything but letters becomes a space, and windows
-of a fixed number of words are compressed twice. The ordinary dictionary is
-trained by zstandard on windows of ordinary documents. The toxic one ends with
-the same content and has before it what toxic documents have and ordinary ones
-lack: the stretches covered by byte sequences that are more frequent in toxic
-documents by a log-likelihood ratio and a smoothed quotient. Both follow the sizes of
-the two samples, and their bounds are chosen by validation within the labelled sample.
-So a window is shorter with the toxic dictionary only by what it
-shares with toxic text. Each number of bytes gained has a calibrated weight, the
-log of how much more frequent it is in toxic documents; the document's sum of
-weights goes through a logistic curve around a calibrated threshold. One part of
-the labelled sample trains the dictionaries, another sets weights and threshold.
+Texts are lower-cased (A-Z), everything but letters becomes a space, each byte is
+written twice (so that what a match saves exceeds what it costs even for short
+words), and windows of a fixed number of words are compressed twice.
+
+Both dictionaries are trained by zstandard, on the words of each document, each
+word once a document. The ordinary one is trained on ordinary documents. The toxic
+one has the ordinary one behind it, so that both know what the classes share, and
+is trained on toxic documents: first on all of their words, then on those words
+that compress better with it than ordinary documents' words do. Which words these
+are is measured by compression alone, with dictionaries trained on the other folds.
+
+A window's gain is the number of bytes by which the toxic dictionary makes it
+shorter. Gains, all measured across folds, calibrate the thresholds: each gain has
+a weight, the log of how much more frequent it is in toxic documents; a logistic
+curve over a document's sum of weights and number of windows gives the score, and
+it is shifted so that of ordinary documents no more than a given share reach 0.5.
+Sizes of the toxic dictionary and how many documents a word of it must stand in are
+chosen by the same folds.
 
 The labelled sample is bounded (``sample`` documents of each label, in the order
 of a hash of doc_id); scores are made from the text alone.
 
-Defined results: null, empty and wordless texts gain nothing and get the curve's
+Defined results: null, empty and wordless texts have no windows and get the curve's
 score for that; a null doc_id counts as an empty string in the held-out rule; a
 doc_id labelled twice counts as toxic if either row says so; repeated rows get
 one result each; without documents of both labels every score is 0; an empty
@@ -25,7 +31,7 @@ table gives no rows; columns other than those named are not read.
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 from functools import lru_cache
 
 import numpy as np
@@ -35,18 +41,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm.common import documents, null_safe_crc, steps, tuned
-from lanternfish.llm.textops import LOWER, bytes_of, word_spans
+from lanternfish.llm.textops import LOWER, bytes_of, encoded_words, row_of, word_spans
 
-WORDS = 6
-GRAM = 6
+WORDS = 3
 #: Bytes of shared content put after each window: compression then pays for both dictionaries from the first match on.
-PRIMER = 48
+PRIMER = 96
 #: Gains from here on weigh alike.
-MOST = 12
+MOST = 16
 SAMPLE = 2500
-#: Bounds of the toxic dictionary's sequences to choose from: of the log-likelihood ratio, with the middle one of the others; then of how many times as frequent.
-LEAST = (320.0, 160.0, 80.0, 40.0, 25.0, 16.0, 10.0)
-TIMES = (100.0, 30.0, 8.0, 3.0)
+FOLDS = 3
+#: Bytes of the ordinary dictionary, of the first toxic one, and of the later ones to choose from.
+ORDINARY, FIRST, SIZES = 65_536, 32_768, (4096,)
+#: In how many toxic documents a word must stand to train the later ones, to choose from.
+FLOORS = (2, 3)
+#: How many times as frequent a gain must be in toxic documents for its words to train the later dictionaries, and to weigh at all.
+LIFT, LEAST_LIFT = 20.0, 3.0
+#: The share of ordinary documents that may reach a score of 0.5.
+FALSE = 0.015
+_SEGMENT, _SEQUENCE = 20, 8
 _KEPT = np.full(256, 32, np.uint8)
 for _b in range(256):
     if 97 <= int(LOWER[_b]) <= 122 or _b >= 128:
@@ -54,208 +66,184 @@ for _b in range(256):
 
 
 def windows(column: pa.Array | pa.ChunkedArray, words: int = WORDS) -> tuple[list[bytes], np.ndarray]:
-    """All rows' windows, words joined by one space with one on either side, and for each row the number of its first."""
+    """All rows' windows, words joined by one space with one on either side, bytes doubled; and for each row the number of its first."""
     data, offsets = bytes_of(column)
     data = _KEPT[data]
     starts, ends, firsts = word_spans(data, offsets)
     counts = np.diff(firsts)
     # Words with a space before each; a window reaches to the space before the next one.
-    lengths = ends - starts + 1
     at = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(lengths, out=at[1:])
+    np.cumsum(ends - starts + 1, out=at[1:])
     joined = np.full(at[-1] + 1, 32, np.uint8)
     inside = np.ones(at[-1] + 1, bool)
     inside[at] = False
     joined[inside] = data[data != 32]
-    raw = joined.tobytes()
+    raw = np.repeat(joined, 2).tobytes()
     cuts = -(-counts // words)
     first = np.concatenate([[0], np.cumsum(cuts)])
     begin = np.repeat(firsts[:-1], cuts) + words * (np.arange(first[-1]) - np.repeat(first[:-1], cuts))
     end = np.minimum(begin + words, np.repeat(firsts[1:], cuts))
-    return [raw[a : b + 1] for a, b in zip(at[begin].tolist(), at[end].tolist(), strict=True)], first
+    return [raw[2 * a : 2 * b + 2] for a, b in zip(at[begin].tolist(), at[end].tolist(), strict=True)], first
 
 
-class Model:
-    """Two dictionaries' contents and the thresholds."""
+def compressor(content: bytes):
+    how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=18, search_log=5, min_match=6, target_length=32, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress
+
+
+def lengths(compress, texts: list[bytes], primer: bytes) -> np.ndarray:
+    return np.fromiter((len(compress(t + primer)) for t in texts), np.int64, len(texts))
 
-    def __init__(self, ordinary: bytes, toxic: bytes, slope: float = 1.0, middle: float = 1.0):
-        self.ordinary, self.toxic, self.slope, self.middle = ordinary, toxic, slope, middle
-        self.weights = np.zeros(MOST + 1)
 
-    def compressors(self):
-        how = zstandard.ZstdCompressionParameters(window_log=15, hash_log=13, chain_log=13, search_log=3, min_match=5, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
-        out = []
-        for content in (self.ordinary, self.toxic):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=how)
-            out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
-        return out
+def trained(size: int, samples: list[bytes]) -> bytes:
+    """The content of a dictionary that zstandard trains; of too little text, the text itself."""
+    try:
+        return zstandard.train_dictionary(size + 1024, samples, k=_SEGMENT, d=_SEQUENCE).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:] or b" "
+
+
+class Model:
+    """Two dictionaries' contents, weights of gains and the curve."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray | None = None, curve: np.ndarray | None = None):
+        self.ordinary, self.toxic = ordinary, toxic
+        self.weights = np.zeros(MOST + 1) if weights is None else weights
+        self.curve = np.array([-30.0, 0, 0, 0]) if curve is None else curve
 
     def gains(self, column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
         """Of each window the bytes that the toxic dictionary saves, and for each row the number of its first window."""
         cut, first = windows(column, words)
         ordinary, toxic = compressors(self)
         primer = self.ordinary[-PRIMER:]
-        return np.fromiter((len(ordinary(w + primer)) - len(toxic(w + primer)) for w in cut), np.int64, len(cut)), first
+        return lengths(ordinary, cut, primer) - lengths(toxic, cut, primer), first
 
     def sums(self, gains: np.ndarray, first: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(self.weights[np.clip(gains, 0, MOST)])])
-        return np.log1p(total[first[1:]] - total[first[:-1]])
-
-    def weigh(self, gains: np.ndarray, first: np.ndarray, toxic: np.ndarray, weight: float) -> None:
-        """Sets the weights of gains from windows of documents whose label is known; none falls from one gain to the next."""
-        label = np.repeat(toxic, np.diff(first))
-        a = np.bincount(np.clip(gains[label], 0, MOST), minlength=MOST + 1) + 0.5
-        b = np.bincount(np.clip(gains[~label], 0, MOST), minlength=MOST + 1) * weight + 0.5
-        # Of a gain or more, so that rare gains don't jump about.
-        a, b = np.cumsum(a[::-1])[::-1], np.cumsum(b[::-1])[::-1]
-        odds = np.log(a / a[0] * b[0] / b)
-        self.weights = np.maximum.accumulate(np.where(np.arange(MOST + 1) >= 2, np.maximum(odds, 0), 0))
+        """Each row's place on the curve."""
+        return features(self.weights, gains, first) @ self.curve
 
     def scores(self, sums: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (sums - self.middle), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
 
 
 @lru_cache(maxsize=2)
 def compressors(model: Model):
-    return model.compressors()
-
-
-def evidence(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of counts a in n toxic and b in m ordinary documents: the log-likelihood ratio (0 if ordinary ones have more), and how many times as frequent, smoothed by half a document."""
-
-    def part(seen, expected):
-        return seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300))
-
-    share = (a + b) / (n + m)
-    g = 2 * (part(a, n * share) + part(b, m * share) + part(n - a, n * (1 - share)) + part(m - b, m * (1 - share)))
-    return np.where(a * m > b * n, g, 0.0), (a + 0.5) / (n + 1) * (m + 1) / (b + 0.5)
-
-
-class Contrast:
-    """How many toxic and ordinary documents have each byte sequence of the toxic ones, and what tells them apart."""
-
-    def __init__(self, toxic: list[bytes], ordinary: list[bytes], gram: int = GRAM):
-        self.toxic, self.gram = toxic, gram
-        self.seen: Counter = Counter()
-        for d in toxic:
-            self.seen.update(self.of(d))
-        other: Counter = Counter()
-        for d in ordinary:
-            other.update(self.of(d) & self.seen.keys())
-        self.grams = list(self.seen)
-        a = np.fromiter(self.seen.values(), float, len(self.grams))
-        b = np.fromiter((other[g] for g in self.grams), float, len(self.grams))
-        self.ratio, self.times = evidence(a, b, len(toxic), len(ordinary))
-
-    def of(self, d: bytes) -> set[bytes]:
-        return {d[i : i + self.gram] for i in range(len(d) - self.gram + 1)}
-
-    def stretches(self, size: int, least: float, times: float) -> bytes:
-        """Stretches of toxic documents whose sequences pass both bounds, the most frequent last, in at most size bytes."""
-        seen, gram = self.seen, self.gram
-        good = {self.grams[k] for k in np.flatnonzero((self.ratio >= least) & (self.times >= times)).tolist()}
-        stretches: Counter = Counter()
-        for d in self.toxic if good else []:
-            i, n = 0, len(d) - gram + 1
-            while i < n:
-                counts = []
-                while i < n and (g := d[i : i + gram]) in good:
-                    counts.append(seen[g])
-                    i += 1
-                if counts:
-                    # Sequences at a stretch's ends that are much rarer hold chance neighbours.
-                    k = counts.index(max(counts))
-                    a = b = k
-                    while a and 2 * counts[a - 1] >= counts[k]:
-                        a -= 1
-                    while b + 1 < len(counts) and 2 * counts[b + 1] >= counts[k]:
-                        b += 1
-                    at = i - len(counts)
-                    stretches[d[at + a : at + b + gram]] += 1
-                i += 1
-        out: list[bytes] = []
-        room, held = size, set()
-        for s, _ in sorted(stretches.items(), key=lambda x: (-x[1], x[0])):
-            own = self.of(s)
-            # Nothing new, or what one adds to another is chance.
-            if len(s) <= room and not own <= held and not any(t in s for t in out):
-                out.append(s)
-                held |= own
-                room -= len(s)
-        return b"".join(reversed(out))
-
-
-def best_middle(sums: np.ndarray, truth: np.ndarray, weight: float) -> tuple[float, float]:
-    """(F, middle) of the threshold on sums with the greatest F."""
-    best = (0.0, 1.0)
-    for middle in np.unique(np.round(sums, 3)):
-        said = sums >= middle
-        f = 2 * (said & truth).sum() / max(1, (said & truth).sum() + weight * (said & ~truth).sum() + truth.sum())
-        if middle > 0 and f > best[0] + 1e-9:
-            best = (f, (middle + sums[sums < middle].max(initial=0.0)) / 2)
-    return best
-
-
-def validated(model: Model, gains: np.ndarray, at: np.ndarray, truth: np.ndarray, weight: float) -> float:
-    """F over documents whose weights and threshold come from the other half of them."""
-    said = np.zeros(len(truth), bool)
-    # Halves of either label.
-    half = np.zeros(len(truth), int)
-    for y in (False, True):
-        half[truth == y] = np.arange((truth == y).sum()) % 2
-    row = np.repeat(half, np.diff(at))
-    for k in (0, 1):
-        own, rest = half == k, half != k
-        first = [np.concatenate([[0], np.cumsum(np.diff(at)[x])]) for x in (own, rest)]
-        model.weigh(gains[row != k], first[1], truth[rest], weight)
-        _, middle = best_middle(model.sums(gains[row != k], first[1]), truth[rest], weight)
-        said[own] = model.sums(gains[row == k], first[0]) >= middle
-    return 2 * (said & truth).sum() / max(1, (said & truth).sum() + weight * (said & ~truth).sum() + truth.sum())
-
-
-def fit(texts: list[str], toxic: list[int], weight: float = 1.0, size: int = 16_384) -> Model:
-    """From labelled texts: every third one, in the order given, sets the thresholds, the others train the dictionaries.
-
-    weight: how many ordinary documents one ordinary document of the sample stands for, if a toxic one stands for one.
-    Of the toxic dictionary's bounds (LEAST, TIMES) those count that serve best on the third that trains no dictionary.
-    """
-    cut, first = windows(pa.array(texts, pa.string()))
-    docs = [b"".join(w[:-1] for w in cut[a:b]) + b" " for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return compressor(model.ordinary), compressor(model.toxic)
+
+
+def features(weights: np.ndarray, gains: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(weights[np.clip(gains, 0, MOST)])])
+    s = np.log1p(total[first[1:]] - total[first[:-1]])
+    return np.column_stack([np.ones(len(s)), s, np.log1p(np.diff(first)), s * s])
+
+
+def lifts(gains: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """For each gain, how many times as frequent it or a greater one is where toxic."""
+    a, b = (np.bincount(np.clip(gains[x], 0, MOST), minlength=MOST + 1) + 0.5 for x in (toxic, ~toxic))
+    a, b = np.cumsum(a[::-1])[::-1], np.cumsum(b[::-1])[::-1]
+    return a / a[0] * b[0] / b
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Coefficients of a logistic curve by Newton's method; the first column is constant and isn't shrunk."""
+    b = np.zeros(x.shape[1])
+    shrink = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + shrink, x.T @ (weight * (y - p)) - shrink @ b)
+        b += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return b
+
+
+class Labelled:
+    """The labelled sample: each document's distinct words, its windows, and what both weigh with the ordinary dictionary."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray, weight: float):
+        column = pa.array(texts, pa.string())
+        self.toxic = toxic
+        self.weight = np.where(toxic, 1.0, weight)
+        self.weight /= self.weight.mean()
+        data, offsets = bytes_of(column)
+        data = _KEPT[data]
+        starts, ends, firsts = word_spans(data, offsets)
+        which, distinct = encoded_words(data, starts, ends)
+        n = max(1, len(distinct))
+        pairs = np.unique(row_of(firsts) * n + which)
+        self.doc, self.word = pairs // n, pairs % n
+        self.words = [np.repeat(np.frombuffer(b" " + w + b" ", np.uint8), 2).tobytes() for w in distinct.to_pylist()]
+        self.windows, self.first = windows(column)
+        #: Folds of either label alike.
+        self.fold = np.zeros(len(texts), np.int64)
+        for y in (False, True):
+            self.fold[toxic == y] = np.arange((toxic == y).sum()) % FOLDS
+        self.of = row_of(self.first)
+        self.ordinary = trained(ORDINARY, self.samples(~toxic[self.doc]))
+        self.primer = self.ordinary[-PRIMER:]
+        compress = compressor(self.ordinary)
+        self.long, self.word_long = lengths(compress, self.windows, self.primer), lengths(compress, self.words, self.primer)
+
+    def samples(self, pairs: np.ndarray) -> list[bytes]:
+        return [self.words[k] for k in self.word[pairs].tolist()]
+
+    def toxic_content(self, pairs: np.ndarray, size: int) -> bytes:
+        return trained(size, self.samples(pairs & self.toxic[self.doc])) + self.ordinary
+
+    def attempt(self, pairs: np.ndarray, size: int) -> dict:
+        """Gains of windows and words by dictionaries of the other folds; weights, curve and loss that follow."""
+        gains, own = np.zeros(len(self.windows), np.int64), np.zeros(len(self.doc), np.int64)
+        for k in range(FOLDS):
+            compress = compressor(self.toxic_content(pairs & (self.fold[self.doc] != k), size))
+            at = np.flatnonzero(self.fold[self.of] == k)
+            gains[at] = self.long[at] - lengths(compress, [self.windows[i] for i in at.tolist()], self.primer)
+            at = np.flatnonzero(self.fold[self.doc] == k)
+            used, back = np.unique(self.word[at], return_inverse=True)
+            own[at] = (self.word_long[used] - lengths(compress, [self.words[i] for i in used.tolist()], self.primer))[back]
+        lift = lifts(gains, self.toxic[self.of])
+        weights = np.maximum.accumulate(np.where((np.arange(MOST + 1) > 0) & (lift >= LEAST_LIFT), np.log(lift), 0))
+        x = features(weights, gains, self.first)
+        curve = logistic(x, self.toxic.astype(float), self.weight)
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
+        loss = -float((self.weight * np.log(np.where(self.toxic, p, 1 - p) + 1e-12)).sum())
+        return {"pairs": pairs, "size": size, "words": own, "weights": weights, "curve": curve, "loss": loss, "sums": x @ curve}
+
+    def telling(self, tried: dict) -> np.ndarray:
+        """The (document, word) pairs of toxic documents whose gain is much more frequent there."""
+        toxic = self.toxic[self.doc]
+        lift = lifts(tried["words"], toxic)
+        lift[0] = 0
+        least = int(np.flatnonzero(lift >= LIFT)[0]) if (lift >= LIFT).any() else int(lift.argmax())
+        return toxic & (tried["words"] >= max(1, least))
+
+    def often(self, pairs: np.ndarray, floor: int) -> np.ndarray:
+        return pairs & (np.bincount(self.word[pairs], minlength=len(self.words))[self.word] >= floor)
+
+
+def fit(texts: list[str], toxic: list[int], weight: float = 1.0) -> Model:
+    """From labelled texts. weight: how many ordinary documents one of the sample stands for, if a toxic one stands for one."""
     y = np.array(toxic, bool)
-    learn = np.arange(len(y)) % 3 != 0
-    if not (y & learn).any() or not (~y & learn).any() or not (y & ~learn).any():
-        return Model(b" ", b" ", slope=0.0, middle=0.0) if y.any() and not y.all() else Model(b" ", b" ", slope=30.0, middle=1.0)
-    plain = [w for i in np.flatnonzero(learn & ~y) for w in cut[first[i] : first[i + 1]]]
-    try:
-        base = zstandard.train_dictionary(size, plain).as_bytes()[-size // 2 :]
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        base = b"".join(plain)[-size // 2 :]
-    base = base or b" "
-    found = Contrast([docs[i] for i in np.flatnonzero(learn & y)], [docs[i] for i in np.flatnonzero(learn & ~y)])
-    test = np.flatnonzero(~learn)
-    held, truth = pa.array([texts[i] for i in test], pa.string()), y[test]
-    tried: dict[bytes, float] = {}
-    best: tuple = (-1.0,)
-
-    def attempt(least: float, times: float) -> None:
-        nonlocal best
-        own = found.stretches(size // 2, least, times)
-        if own not in tried:
-            model = Model(base, own + base)
-            gains, at = model.gains(held)
-            tried[own] = validated(model, gains, at, truth, weight)
-            if tried[own] > best[0] + 1e-9:
-                best = (tried[own], least, model, gains, at)
-
-    for least in LEAST:
-        attempt(least, 30.0)
-    for times in TIMES:
-        attempt(best[1], times)
-    _, _, model, gains, at = best
-    model.weigh(gains, at, truth, weight)
-    model.middle, model.slope = best_middle(model.sums(gains, at), truth, weight)[1], 4.0
-    return model
+    if y.sum() < FOLDS or (~y).sum() < FOLDS:
+        return Model(b" ", b" ")
+    known = Labelled(texts, y, weight)
+    if not len(known.doc):
+        return Model(b" ", b" ")
+    best, seen = known.attempt(np.ones(len(known.doc), bool), FIRST), set()
+    for _ in range(2):
+        pairs = known.telling(best)
+        for floor, size in itertools.product(FLOORS, SIZES):
+            own = known.often(pairs, floor)
+            content = known.toxic_content(own, size) if own.any() else None
+            if content and content not in seen:
+                seen.add(content)
+                best = min(best, known.attempt(own, size), key=lambda t: t["loss"])
+    # Shifted so that few enough ordinary documents pass.
+    sums = np.sort(best["sums"][~y])[::-1]
+    curve = best["curve"].copy()
+    curve[0] -= sums[min(len(sums) - 1, int(FALSE * len(sums)))] + 1e-9
+    return Model(known.ordinary, known.toxic_content(best["pairs"], best["size"]), best["weights"], curve)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int, modulus: int, rest: int, label: str) -> tuple[list[tuple[str, int]], float]:

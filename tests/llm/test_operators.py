@@ -297,15 +297,37 @@ def test_toxic_wording_in_few_documents_of_a_small_sample():
     assert (said & truth).sum() >= 95 and (said & ~truth).sum() <= 5
 
 
-def test_all_ordinary_windows_train_the_dictionary(monkeypatch):
+def test_all_words_of_the_sample_train_the_dictionaries(monkeypatch):
+    """No document's words are left out, however many there are; each counts once a document."""
     seen = []
     train = toxicity.zstandard.train_dictionary
-    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, plain: seen.append(len(plain)) or train(size, plain[:2000]))
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples, **how: seen.append(len(samples)) or train(size, samples, **how))
     r = random.Random(6)
     texts = [" ".join(words(r, 50) * 300) for _ in range(60)]
     toxicity.fit(texts, [k % 4 == 1 for k in range(60)])
-    learn = [k for k in range(60) if k % 3 and k % 4 != 1]
-    assert seen == [2500 * len(learn)] and seen[0] > 60_000
+    assert seen[0] == sum(len(set(t.split())) for k, t in enumerate(texts) if k % 4 != 1)
+    assert max(seen[1:]) == sum(len(set(t.split())) for k, t in enumerate(texts) if k % 4 == 1)
+
+
+def test_scores_are_those_of_plain_compression():
+    """Window by window, document by document, without any vectorised step."""
+    import pyarrow as pa
+
+    r = random.Random(15)
+    texts = [" ".join(words(r, 40) + ["zxqvile", "wretchk"] * (k % 2)) for k in range(80)]
+    model = toxicity.fit(texts, [k % 2 for k in range(80)])
+    texts = texts[:6] + ["", "Zxqvile, WRETCHK! 12 é zxqvile", "!!", "one"]
+    got = model.scores(model.sums(*model.gains(pa.array(texts))))
+    small, large = toxicity.compressor(model.ordinary), toxicity.compressor(model.toxic)
+    for text, score in zip(texts, got, strict=True):
+        own = re.findall(rb"[a-z\x80-\xff]+", "".join(c.lower() if c.isascii() else c for c in text).encode())
+        total = 0.0
+        cut = [own[k : k + toxicity.WORDS] for k in range(0, len(own), toxicity.WORDS)]
+        for window in cut:
+            twice = b"".join(bytes([b, b]) for b in b" " + b" ".join(window) + b" ") + model.ordinary[-toxicity.PRIMER :]
+            total += model.weights[min(max(len(small(twice)) - len(large(twice)), 0), toxicity.MOST)]
+        s = np.log1p(total)
+        assert np.isclose(score, 1 / (1 + np.exp(-np.clip(model.curve @ [1, s, np.log1p(len(cut)), s * s], -30, 30))))
 
 
 def test_token_store(spark, docs, none, tokenizer):
