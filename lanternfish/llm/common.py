@@ -133,7 +133,7 @@ def from_blob(blob) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all().combine_chunks()
 
 
-def packed(df: DataFrame) -> DataFrame:
+def packed(df: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
     """(_b, _p): blocks of rows in scan order, each compressed into one binary; _b is the partition and a serial number.
 
     The blocks are dealt to partitions by _b. Used more than once in a plan, this shuffle is computed once and reused.
@@ -143,7 +143,7 @@ def packed(df: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 32
-        for k, table in enumerate(steps(batches)):
+        for k, table in enumerate(steps(batches, size)):
             yield pa.RecordBatch.from_pydict({"_b": pa.array([first + k], pa.int64()), "_p": pa.array([to_blob(table)], pa.binary())})
 
     spark = tuned(df.sparkSession)

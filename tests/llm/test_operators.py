@@ -418,3 +418,46 @@ def test_search_and_mixing_agree_with_their_sql(spark, sf):
         columns = sorted(got.columns)
         assert columns == sorted(want.columns)
         assert sorted(map(tuple, got[columns].round(6).values.tolist())) == sorted(map(tuple, want[columns].round(6).values.tolist()))
+
+
+def test_factors_cover_each_repeated_phrase():
+    """Random texts of few words, stretches with copies: the factors cover what a count of phrases covers, and are equal to another place."""
+    rng = np.random.default_rng(16)
+    for _ in range(300):
+        window = int(rng.integers(1, 6))
+        sizes = rng.integers(window, 30, int(rng.integers(1, 8)))
+        h = rng.integers(0, int(rng.integers(1, 5)) + 1, sizes.sum()).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        firsts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        copied = rng.random(len(sizes)) < 0.1
+        seqs = [tuple(h[a:b].tolist()) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+        seen = Counter(s[j : j + window] for s, c in zip(seqs, copied, strict=True) for j in range(len(s) - window + 1) for _ in range(1 + c))
+        got = [np.zeros(len(s), bool) for s in seqs]
+        for d, at, n in zip(*(x.tolist() for x in substring_dedup.factors(h, firsts, copied, window)), strict=True):
+            assert n >= window and at + n <= len(seqs[d])
+            assert copied[d] or sum(s[j : j + n] == seqs[d][at : at + n] for s in seqs for j in range(len(s))) > 1
+            got[d][at : at + n] = True
+        for s, g in zip(seqs, got, strict=True):
+            assert g.tolist() == [any(seen[s[j : j + window]] > 1 for j in range(max(0, x - window + 1), min(x, len(s) - window) + 1)) for x in range(len(s))]
+
+
+def test_substring_removal_of_a_whole_table(spark, sf):
+    """All documents of the smallest tables and a text longer than a block, against a count of all windows."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows.append((10**6, " ".join(f"w{k % 90_000}" for k in range(400_000))))
+    words = [WORD.findall(t or "") for _, t in rows]
+    seen = Counter(hash(tuple(w[j : j + 35])) for w in words for j in range(len(w) - 34))
+    want = {}
+    for (i, _), w in zip(rows, words, strict=True):
+        edge = [0] * (len(w) + 36)
+        for j in range(len(w) - 34):
+            if seen[hash(tuple(w[j : j + 35]))] > 1:
+                edge[j] += 1
+                edge[j + 35] -= 1
+        depth, kept = 0, []
+        for x, e in zip(w, edge, strict=False):
+            depth += e
+            if not depth:
+                kept.append(x)
+        want[i] = (len(w), len(w) - len(kept), sha(" ".join(kept)))
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, sha(r.text)) for r in got} == want
