@@ -147,18 +147,22 @@ def links_with(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def similar_groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_id (0: no shingles), component_id of df(doc_id, text).
+    """doc_id, text_hash, n_shingles, set_id (0: no shingles), root, component_id of df(doc_id, text).
 
     Two documents link when den * common >= num * all of their distinct k-word shingles; component_id is the least doc_id
-    reachable by links.
+    reachable by links, and root a number of the component that is never null. text_hash (64 bits) tells rows of one doc_id apart.
     """
     spark = tuned(df.sparkSession)
     n = parts(spark)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def keys(batches):
-        bands = Bands(num, den)
+        from pyspark import TaskContext
+
+        bands, task = Bands(num, den), TaskContext.get().partitionId()
         for serial, table in zip(counted(), steps(batches, STEP)):
+            # Documents' rows are spread over all buckets by what makes this step unique.
+            spread = int(mixed(np.array([task << 32 | serial], np.uint64))[0] % np.uint64(n))
             sets = shingle_sets(table["text"], k)
             ids = np.array([set_id(s) for s in sets], np.int64)
             own = {int(i): s for i, s in zip(ids, sets, strict=True) if i}
@@ -171,15 +175,16 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
             h, s = h[order], s[order]
             at = [j for j in range(n) if ends[j] < ends[j + 1]]
             yield pa.RecordBatch.from_pydict({
-                "_k": pa.array([*at, serial % n], pa.int64()),
+                "_k": pa.array([*at, spread], pa.int64()),
                 "_h": pa.array([*(h[ends[j] : ends[j + 1]].tobytes() for j in at), None], pa.binary()),
                 "_s": pa.array([*(s[ends[j] : ends[j + 1]].tobytes() for j in at), ids.tobytes()], pa.binary()),
                 "_d": pa.array([*([None] * len(at)), table["doc_id"].combine_chunks().to_pylist()], pa.list_(pa.int64())),
                 "_n": pa.array([*([None] * len(at)), [len(x) for x in sets]], pa.list_(pa.int64())),
+                "_t": pa.array([*([None] * len(at)), table["text_hash"].combine_chunks().to_pylist()], pa.list_(pa.int64())),
             })
 
     def meet(table: pa.Table) -> pa.Table:
-        """(kind, x, y, z): of kind 1 a tile and a class in it, for tiles with two classes or more; of kind 0 a document, its set's size and class."""
+        """(kind, x, y, z, t): of kind 1 a tile and a class in it, for tiles with two classes or more; of kind 0 a document, its set's size, class and text hash."""
         keyed = table.filter(table["_h"].is_valid())
         h = np.frombuffer(b"".join(keyed["_h"].to_pylist()), np.uint64)
         s = np.frombuffer(b"".join(keyed["_s"].to_pylist()), np.int64)
@@ -194,23 +199,31 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
         many[:-1] |= same
         h, s = h[many].view(np.int64), s[many]
         rest = table.filter(table["_h"].is_null())
-        d = [x for row in rest["_d"].to_pylist() for x in row]
-        sizes = [x for row in rest["_n"].to_pylist() for x in row]
+        d, sizes, hashes = (rest[c].combine_chunks().flatten() for c in ("_d", "_n", "_t"))
         ids = np.frombuffer(b"".join(rest["_s"].to_pylist()), np.int64)
-        return pa.table({"kind": pa.array([1] * len(h) + [0] * len(d), pa.int32()), "x": pa.concat_arrays([pa.array(h), pa.array(d, pa.int64())]), "y": pa.concat_arrays([pa.array(s), pa.array(sizes, pa.int64())]), "z": pa.concat_arrays([pa.nulls(len(h), pa.int64()), pa.array(ids)])})
+        kind = pa.array(np.repeat(np.array([1, 0], np.int32), [len(h), len(d)]))
+        none = pa.nulls(len(h), pa.int64())
+        return pa.table({"kind": kind, "x": pa.concat_arrays([pa.array(h), d]), "y": pa.concat_arrays([pa.array(s), sizes]), "z": pa.concat_arrays([none, pa.array(ids)]), "t": pa.concat_arrays([none, hashes])})
 
-    met = stored(docs.mapInArrow(keys, "_k long, _h binary, _s binary, _d array<long>, _n array<long>").groupBy("_k").applyInArrow(meet, "kind int, x long, y long, z long"), "tiles")
+    dealt = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(keys, "_k long, _h binary, _s binary, _d array<long>, _n array<long>, _t array<long>")
+    met = stored(dealt.groupBy("_k").applyInArrow(meet, "kind int, x long, y long, z long, t long"), "tiles")
     release(spark)
-    of = met.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("set_id"))
+    of = met.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("t").alias("text_hash"), F.col("y").alias("n_shingles"), F.col("z").alias("set_id"))
     tiles = met.where("kind = 1").select(F.col("x").alias("tile"), F.col("y").alias("s"))
-    labels = None
+    labels, scratch = None, []
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows = stored(rows, name)
+        scratch.append(rows._stored_at)
+        return rows
+
     if not tiles.isEmpty():
-        degree = stored(tiles.groupBy("s").agg(F.count("*").alias("d")), "classes")
-        tiles = distinct_tiles(tiles)
-        sets = Sets(docs, degree, k, num, den)
+        degree = kept(tiles.groupBy("s").agg(F.count("*").alias("d")), "classes")
+        tiles = distinct_tiles(tiles, kept)
+        sets = Sets(docs, degree, k, num, den, kept)
         links = tested = None
         for _ in range(2):
-            pairs = pivots(open_tiles(tiles, labels), degree, tested)
+            pairs = pivots(open_tiles(tiles, labels), degree, tested, kept)
             if pairs.isEmpty():
                 break
             found = sets.linked(pairs)
@@ -220,8 +233,10 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
         pairs = sets.unsettled(open_tiles(tiles, labels), tested)
         if not pairs.isEmpty():
             links = links.unionByName(sets.linked(pairs))
-            labels = connected(links.select(F.col("s").alias("a"), F.col("p").alias("b")))
-        drop_path(spark, sets.all._stored_at)
+            labels = stored(connected(links.select(F.col("s").alias("a"), F.col("p").alias("b"))), "labels")
+        # What follows reads only the documents' classes and the labels.
+        for path in scratch:
+            drop_path(spark, path)
         release(spark)
     # A class's documents first, then the least document of each component.
     if labels is None:
@@ -229,13 +244,13 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     else:
         of = of.join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = of.where("set_id <> 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return of.join(least, "root", "left").select("doc_id", "n_shingles", "set_id", F.when(F.col("set_id") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return of.join(least, "root", "left").select("doc_id", "text_hash", "n_shingles", "set_id", "root", F.when(F.col("set_id") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def distinct_tiles(tiles: DataFrame) -> DataFrame:
+def distinct_tiles(tiles: DataFrame, kept) -> DataFrame:
     """One tile of those that hold the same classes; near copies share most of their parts. Tiles are told apart by 128 bits and their size."""
     print_ = tiles.groupBy("tile").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "s")).alias("y"))
-    return stored(tiles.join(print_.groupBy("n", "x", "y").agg(F.min("tile").alias("tile")).select("tile"), "tile", "left_semi"), "distinct-tiles")
+    return kept(tiles.join(print_.groupBy("n", "x", "y").agg(F.min("tile").alias("tile")).select("tile"), "tile", "left_semi"), "distinct-tiles")
 
 
 def open_tiles(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -247,21 +262,21 @@ def open_tiles(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     return tiles.join(mixed_.select("tile"), "tile", "left_semi")
 
 
-def pivots(tiles: DataFrame, degree: DataFrame, tested: DataFrame | None) -> DataFrame:
+def pivots(tiles: DataFrame, degree: DataFrame, tested: DataFrame | None, kept) -> DataFrame:
     """(s, p): for each class the pivot that it meets most often outside its component and hasn't been compared with."""
     tiles = tiles.join(degree, "s")
     top = tiles.groupBy("tile").agg(F.max(F.struct("d", "s", "label")).alias("t")).select("tile", F.col("t.s").alias("p"), F.col("t.label").alias("q"), F.col("t.d").alias("e"))
     pairs = tiles.join(top, "tile").where("label <> q").groupBy("s", "p").agg(F.count("*").alias("c"), F.max("e").alias("e"))
     if tested is not None:
         pairs = pairs.join(tested, ["s", "p"], "left_anti")
-    return stored(pairs.groupBy("s").agg(F.max(F.struct("c", "e", "p")).alias("t")).select("s", F.col("t.p").alias("p")), "pairs")
+    return kept(pairs.groupBy("s").agg(F.max(F.struct("c", "e", "p")).alias("t")).select("s", F.col("t.p").alias("p")), "pairs")
 
 
 class Sets:
     """The candidate classes' shingles, made from the texts again: few of all documents are candidates."""
 
-    def __init__(self, docs: DataFrame, degree: DataFrame, k: int, num: int, den: int):
-        self.spark, self.num, self.den = docs.sparkSession, num, den
+    def __init__(self, docs: DataFrame, degree: DataFrame, k: int, num: int, den: int, kept):
+        self.spark, self.num, self.den, self.kept = docs.sparkSession, num, den, kept
         self.n = parts(self.spark)
         bits = 1 << 16
         size = degree.count()
@@ -281,7 +296,7 @@ class Sets:
 
         # The filter lets some others pass; joins with pairs drop them. A class with copies far apart stands here several
         # times, once for each batch of texts at most, which repeats a comparison and changes nothing.
-        self.all = stored(docs.select("doc_id", "text").mapInArrow(pick, "s long, n long, a binary, m binary"), "sets")
+        self.all = kept(docs.select("doc_id", "text").mapInArrow(pick, "s long, n long, a binary, m binary"), "sets")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (s, p) that link: bitmaps rule most others out, the sets themselves go to the rest only."""
@@ -300,7 +315,7 @@ class Sets:
         groups = pairs.groupBy("p").agg(F.ceil(F.count("*") / 400).cast("int").alias("tasks"))
         members = pairs.join(groups, "p").select("s", F.col("p").alias("g"), F.pmod(F.hash("s"), "tasks").alias("t"))
         centres = groups.select(F.col("p").alias("s"), F.col("p").alias("g"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("t"))
-        wanted = stored(members.unionByName(centres), "wanted")
+        wanted = self.kept(members.unionByName(centres), "wanted")
         # Ids go to where the sets are if they are few; else both are shuffled.
         rows = self.all.select("s", "n", F.col(column).alias("x")).join(few(wanted), "s").withColumn("c", (F.col("s") == F.col("g")).cast("int"))
 
@@ -320,7 +335,7 @@ class Sets:
                 yield pa.RecordBatch.from_pydict({"s": pa.array(s, pa.int64()), "p": pa.array(p, pa.int64())})
 
         rows = rows.repartition(self.n, "g", "t").sortWithinPartitions("g", "t", F.desc("c"))
-        return stored(rows.select("g", "t", "c", "s", "n", "x").mapInArrow(settle, "s long, p long").distinct(), "links")
+        return self.kept(rows.select("g", "t", "c", "s", "n", "x").mapInArrow(settle, "s long, p long").distinct(), "links")
 
     def unsettled(self, tiles: DataFrame, tested: DataFrame | None) -> DataFrame:
         """Pairs (s, p) of classes in different components that share a tile and whose bitmaps allow a link."""
@@ -348,20 +363,31 @@ class Sets:
         pairs = rows.select("tile", "u", "v", "s", "label", "i", "n", "m").mapInArrow(compare, "s long, p long").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["s", "p"], "left_anti").join(tested.select(F.col("p").alias("s"), F.col("s").alias("p")), ["s", "p"], "left_anti")
-        return stored(pairs, "pairs")
+        return self.kept(pairs, "pairs")
 
 
 def square(held: list[tuple], num: int, den: int, s: list, p: list) -> None:
-    """Compares the classes of one square, at most 2 * _SQUARE or so, in order of size."""
+    """Compares the classes of one square, at most 2 * _SQUARE or so, in order of size: one class with all larger ones at a time."""
     held = sorted(held, key=lambda r: (r[6], r[3]))
-    sizes = np.array([r[6] for r in held])
+    n = np.array([r[6] for r in held])
+    ids, labels, cuts = (np.array([r[c] for r in held]) for c in (3, 4, 5))
+    widths = np.array([len(r[7]) for r in held])
+    rows: dict[int, np.ndarray] = {}
     for x, row in enumerate(held):
         # Larger sets that can still link, in the other cut if the square has two.
-        last = int(np.searchsorted(sizes, row[6] * den // num, "right"))
-        for other in held[x + 1 : last]:
-            if other[4] != row[4] and (row[1] == row[2] or other[5] != row[5]) and bound(row[7], other[7], row[6], other[6]) * (den + num) >= num * (row[6] + other[6]):
-                s.append(max(row[3], other[3]))
-                p.append(min(row[3], other[3]))
+        last = int(np.searchsorted(n, row[6] * den // num, "right"))
+        near = np.arange(x + 1, last)
+        near = near[(labels[near] != labels[x]) & ((row[1] == row[2]) | (cuts[near] != cuts[x]))]
+        if not len(near):
+            continue
+        width = int(widths[x])  # bitmaps don't get narrower as sets grow
+        if width not in rows:
+            rows[width] = np.stack([folded(r[7], width) if len(r[7]) >= width else np.zeros(width, np.uint8) for r in held])
+        bits = rows[width]
+        common = (n[near] + n[x] - np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1, dtype=np.int64)) // 2
+        for j in near[common * (den + num) >= num * (n[near] + n[x])].tolist():
+            s.append(max(int(ids[x]), int(ids[j])))
+            p.append(min(int(ids[x]), int(ids[j])))
 
 
 def positions(i: int, bits: int) -> tuple[int, int]:
