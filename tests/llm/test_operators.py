@@ -461,3 +461,67 @@ def test_substring_removal_of_a_whole_table(spark, sf):
         want[i] = (len(w), len(w) - len(kept), sha(" ".join(kept)))
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, sha(r.text)) for r in got} == want
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    import corpus_pipeline as C
+
+    body = [f"w{k}" for k in range(60)]
+    near = " ".join(body[:59] + ["other"])
+    rows = [(5, " ".join(body), "a"), (5, " ".join(body), "b"), (5, near, "c"), (None, " ".join(body), "d"), (7, near, "e"), (None, "alone in the world it stands here", "f"), (None, "alone in the world it stands here", "g"), (8, "", "h"), (8, "", "i"), (9, None, "j"), (10, "no copy of anything else at all", "k")]
+    kept = C.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    groups = Counter("one" if (r.text or "").startswith("w0") else "alone" if (r.text or "").startswith("alone") else r.source for r in kept)
+    assert groups == {"one": 1, "alone": 1, "h": 1, "i": 1, "j": 1, "k": 1}
+    assert {r.doc_id for r in kept if (r.text or "").startswith("w0")} == {5}
+
+
+def brute_pipeline(docs, good):
+    """Stages 2 and 3 by sets and counts of all windows: rows (doc_id, text, n_chars, removed) in order of doc_id."""
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in (WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for _, t, _ in good)]
+    group = list(range(len(good)))
+    where = defaultdict(set)
+    for a, s in enumerate(sets):
+        for b in {b for x in s for b in where[x]}:
+            if group[a] != group[b] and 5 * len(s & sets[b]) >= 4 * len(s | sets[b]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+        for x in s:
+            where[x].add(a)
+    least = {}
+    for g, row in zip(group, good, strict=True):
+        least[g] = min(least.get(g, row), row)
+    left = sorted(least.values())
+    words = [WORD.findall(t or "") for _, t, _ in left]
+    seen = Counter(hash(tuple(w[j : j + 35])) for w in words for j in range(len(w) - 34))
+    out = []
+    for (i, t, n), w in zip(left, words, strict=True):
+        gone = [False] * len(w)
+        for j in range(len(w) - 34):
+            if seen[hash(tuple(w[j : j + 35]))] > 1:
+                gone[j : j + 35] = [True] * 35
+        text = " ".join(x for x, g in zip(w, gone, strict=True) if not g) if any(gone) else t
+        out.append((i, text, len(text) if any(gone) else n))
+    return out
+
+
+def test_pipeline_rows_are_those_of_plain_versions(spark, sf, tokenizer):
+    """Stage by stage on the smallest tables: what quality keeps, then copies and passages by brute force, the mix by its operator's law, ids by the library."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as C
+    from lanternfish.llm.common import stored
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = stored(C.keep_good(spark, docs, sf), "t")
+    scores = {r.doc_id for r in quality.score(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1").collect()}
+    rows = [(r.doc_id, r.text, r.n_chars) for r in good.collect()]
+    assert {i for i, _, _ in rows} == scores
+    cut = stored(C.cut_repeats(spark, stored(C.drop_near_copies(spark, good, sf), "t"), sf), "t")
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in cut.collect()) == brute_pipeline(docs, rows)
+    mixed = stored(C.mix_sources(spark, cut, sf), "t")
+    taken = {r.doc_id: r.taken // r.size if r.size else None for r in mixing.take(cut).collect()}
+    copies = Counter(r.doc_id for r in mixed.collect())
+    assert all(copies[i] == n for i, n in taken.items() if n is not None)
+    t, texts = Tokenizer.from_file(tokenizer), {r.doc_id: r.text or "" for r in cut.collect()}
+    for r in C.tokenize(spark, mixed, sf).collect():
+        assert list(r.ids) == t.encode(texts[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
