@@ -90,22 +90,26 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def steps(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """The rows of the batches in order, in tables of about ``size`` bytes: small batches joined, large ones cut."""
+def steps(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES, rows: int = 65_536) -> Iterator[pa.Table]:
+    """The rows of the batches in order, in tables of about ``size`` bytes and at most ``rows`` rows: small batches joined, large ones cut."""
     held: list[pa.RecordBatch] = []
-    total = 0
+    total = count = 0
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        cut = max(1, min(n, int(n * size / max(1, batch.nbytes))))
+        cut = max(1, min(n, rows, int(n * size / max(1, batch.nbytes))))
         for at in range(0, n, cut):
             piece = batch.slice(at, cut)
+            if held and count + piece.num_rows > rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, total, count = [], 0, 0
             held.append(piece)
             total += piece.nbytes
+            count += piece.num_rows
             if total >= size:
                 yield pa.Table.from_batches(held).combine_chunks()
-                held, total = [], 0
+                held, total, count = [], 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
         held = []

@@ -27,8 +27,8 @@ from lanternfish.llm.common import documents, null_safe_crc, steps, tuned
 from lanternfish.llm.textops import LOWER, bytes_of, encoded_words, row_of, word_spans
 
 SAMPLE = 6000
-#: Bytes of text measured at once; each takes some 40 bytes of memory meanwhile.
-STEP = 2 << 20
+#: Bytes of text and rows measured at once; a byte takes some 60 bytes of memory meanwhile, a row some 8 kB.
+STEP, ROWS = 1 << 20, 4096
 _KIND = np.zeros(256, np.int64)
 _KIND[65:91] = 1
 _KIND[97:123] = 2
@@ -152,7 +152,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     zero, one = (marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1))
 
     def measure(batches):
-        for table in steps(batches, STEP):
+        for table in steps(batches, STEP, ROWS):
             x = statistics(table["text"])
             yield pa.RecordBatch.from_pydict({"doc_id": table["doc_id"].combine_chunks(), "y": table["y"].combine_chunks(), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
@@ -174,7 +174,7 @@ def with_score(df: DataFrame, model: Trees, text: str = "text", name: str = "sco
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def mark(batches):
-        for table in steps(batches, STEP):
+        for table in steps(batches, STEP, ROWS):
             score_ = sent.value.probability(statistics(table[text]))
             yield from table.append_column(name, pa.array(score_, pa.float64())).to_batches()
 

@@ -525,3 +525,14 @@ def test_pipeline_rows_are_those_of_plain_versions(spark, sf, tokenizer):
     t, texts = Tokenizer.from_file(tokenizer), {r.doc_id: r.text or "" for r in cut.collect()}
     for r in C.tokenize(spark, mixed, sf).collect():
         assert list(r.ids) == t.encode(texts[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+
+
+def test_steps_are_bounded_by_bytes_and_rows():
+    import pyarrow as pa
+
+    from lanternfish.llm.common import steps
+
+    batches = [pa.RecordBatch.from_pydict({"text": ["x"] * n}) for n in (10, 0, 7000, 3, 9000)] + [pa.RecordBatch.from_pydict({"text": ["y" * 5000] * 40})]
+    made = list(steps(batches, 1 << 16, 4096))
+    assert all(t.num_rows <= 4096 and t.nbytes < 3 << 16 for t in made)
+    assert sum((t["text"].to_pylist() for t in made), []) == ["x"] * 16_013 + ["y" * 5000] * 40
