@@ -12,6 +12,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,7 +82,7 @@ def tuned(spark: SparkSession) -> SparkSession:
     """Arrow batches bounded by rows and bytes, so that long texts don't pile up in one batch."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000 or int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 0:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     return spark
 
 
@@ -92,6 +93,7 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
 
 def steps(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES, rows: int = 65_536) -> Iterator[pa.Table]:
     """The rows of the batches in order, in tables of about ``size`` bytes and at most ``rows`` rows: small batches joined, large ones cut."""
+    lean()
     held: list[pa.RecordBatch] = []
     total = count = 0
     for batch in batches:
@@ -116,13 +118,31 @@ def steps(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES, rows: int
     trim()
 
 
+@lru_cache(maxsize=1)
+def lean() -> Callable | None:
+    """Makes this worker give back at once what it frees: workers live on between stages and share an executor's memory with the JVM.
+
+    Arrow allocates by malloc from here on; blocks over 128 kB are mapped, and unmapped when freed, however large they get (by
+    default the bound rises with what has been freed), and all threads share one heap. Returns malloc_trim.
+    """
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 128 << 10)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 128 << 10)  # M_TRIM_THRESHOLD
+        libc.mallopt(-8, 1)  # M_ARENA_MAX
+        trim_ = libc.malloc_trim
+    except (AttributeError, OSError):  # not a C library with these
+        return None
+    pa.set_memory_pool(pa.system_memory_pool())
+    return trim_
+
+
 def trim() -> None:
-    """Gives freed memory back to the system: workers live on between stages and share an executor's memory with the JVM."""
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not a C library that keeps it
-        pass
+    give_back = lean()
+    if give_back:
+        give_back(0)
 
 
 def to_blob(table: pa.Table) -> bytes:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import drop_path, few, parts, release, steps, stored, tuned
+from lanternfish.llm.common import drop_path, few, parts, release, steps, stored, trim, tuned
 from lanternfish.llm.components import connected
 from lanternfish.llm.textops import LOWER, bytes_of, mixed, sequence_hashes, word_hashes, word_spans
 
@@ -41,7 +41,7 @@ _SUM = np.uint64(0x9FB21C651E98DF25)
 _PREFIX = np.uint64(0xE7037ED1A0B428DB)
 _SQUARE = 256
 #: Bytes of text whose sets are in memory at once.
-STEP = 3 << 20
+STEP = 3 << 19
 
 
 def shingle_sets(column: pa.ChunkedArray, k: int) -> list[np.ndarray]:
@@ -185,6 +185,7 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
 
     def meet(table: pa.Table) -> pa.Table:
         """(kind, x, y, z, t): of kind 1 a tile and a class in it, for tiles with two classes or more; of kind 0 a document, its set's size, class and text hash."""
+        trim()
         keyed = table.filter(table["_h"].is_valid())
         h = np.frombuffer(b"".join(keyed["_h"].to_pylist()), np.uint64)
         s = np.frombuffer(b"".join(keyed["_s"].to_pylist()), np.int64)
@@ -333,6 +334,7 @@ class Sets:
                         s.append(row[3])
                         p.append(g)
                 yield pa.RecordBatch.from_pydict({"s": pa.array(s, pa.int64()), "p": pa.array(p, pa.int64())})
+            trim()
 
         rows = rows.repartition(self.n, "g", "t").sortWithinPartitions("g", "t", F.desc("c"))
         return self.kept(rows.select("g", "t", "c", "s", "n", "x").mapInArrow(settle, "s long, p long").distinct(), "links")
@@ -358,6 +360,8 @@ class Sets:
                 yield pa.RecordBatch.from_pydict({"s": pa.array(s, pa.int64()), "p": pa.array(p, pa.int64())})
             s, p = [], []
             square(held, num, den, s, p)
+            held = []
+            trim()
             yield pa.RecordBatch.from_pydict({"s": pa.array(s, pa.int64()), "p": pa.array(p, pa.int64())})
 
         pairs = rows.select("tile", "u", "v", "s", "label", "i", "n", "m").mapInArrow(compare, "s long, p long").distinct()

@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanternfish.llm.common import from_blob, packed, parts
+from lanternfish.llm.common import from_blob, packed, parts, trim
 from lanternfish.llm.textops import bytes_of, row_of, sequence_hashes, sliding_least, whole, word_hashes, word_spans
 
 _POSITION = np.uint64((1 << 24) - 1)
 #: Bytes of text in a block of documents; its words' arrays take some 25 times as much in a worker.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Reference blocks for each partition of a shuffle: one is in a worker's memory at a time.
 SPLIT = 4
 
@@ -113,6 +113,7 @@ _TEXTS = pa.schema([("_b", pa.int64()), ("_k", pa.int64()), ("_t", pa.binary()),
 
 def lookup(table: pa.Table) -> pa.Table:
     """One bucket of anchors: to each block of documents, those of its anchors that stand at two places or more."""
+    trim()
     blobs = {c: table[c].to_pylist() for c in ("_h", "_m")}
     h = np.frombuffer(b"".join(blobs["_h"]), np.uint64)
     many = np.frombuffer(b"".join(blobs["_m"]), bool)
@@ -203,6 +204,7 @@ def factors(h: np.ndarray, firsts: np.ndarray, copied: np.ndarray, window: int)
 
 def parse_block(table: pa.Table, window: int) -> pa.Table:
     """One reference block: to each block of documents its factors, as first words and lengths."""
+    trim()
     texts = table["_t"].to_pylist()
     counts = [np.frombuffer(x, np.int32) for x in table["_n"].to_pylist()]
     times = [np.frombuffer(x, np.int32) for x in table["_m"].to_pylist()]
