@@ -8,14 +8,18 @@ bitmap arithmetic: carry-save adders reduce all slices of one weight, and carrie
 go to the next. The sums' slices, from the most significant one downward, select
 the k best rows; rows that tie at the border are resolved exactly, by vec_id.
 
-Queries meet every block: both travel in packed blocks, queries are copied to a
-bounded number of groups of index blocks. Each block keeps k rows for a query,
-so what is left to rank grows with queries times blocks, not with all pairs.
-
-Defined results: a vector that is null or has null or non-finite components, or
-one beyond 2**28 after quantising, takes no part, nor does a null vec_id; vectors
-of other lengths count as if zeros followed; rows equal in vec_id and vector count once; a query's own rows are all with its vec_id; an
-empty table gives no rows; columns other than vec_id and embedding are not read.
+Queries meet every block: both travel in packed blocks; index blocks are dealt to
+groups of a few, moved once and held, and the packed queries stream past them.
+Each group keeps k rows for a query, so what is left to rank grows with queries
+times groups, not with all pairs.
+
+Defined results: a vector that is null or has null or non-finite components takes
+no part, nor does a null vec_id; components of any size count, sums are exact, and
+a component of 2**62 or more after quantising or a score beyond 64 bits among the
+results raises an error; vectors of other lengths count as if zeros followed; repeated rows are
+rows of their own, as candidates and as queries; a query's own rows are all with
+its vec_id; an empty table gives no rows; columns other than vec_id and embedding
+are not read.
 """
 
 from __future__ import annotations
@@ -29,18 +33,24 @@ from lanternfish.llm.common import parts, tuned
 
 ROWS = 16_384
 QUERIES = 512
-LIMIT = 1 << 28
+#: Index blocks that a task holds at once, about.
+HELD = 4
 
 
 def quantised(df: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and v array<long> of the rows that take part, each once."""
-    x = F.transform("embedding", lambda e: F.floor(e.cast("double") * scale))
-    ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda e: F.coalesce(e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double") * scale) < LIMIT), F.lit(False)))
-    return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(ok).select("vec_id", x.alias("v")).distinct()
+    """vec_id and v array<long> of the rows that take part."""
+    fits = lambda e: F.abs(e.cast("double") * scale) < float(1 << 62)
+    x = F.transform("embedding", lambda e: F.when(fits(e), F.floor(e.cast("double") * scale)).otherwise(F.raise_error("a component is too large").cast("long")))
+    finite = F.forall("embedding", lambda e: F.coalesce(~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")), F.lit(False)))
+    ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite
+    return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(ok).select("vec_id", x.alias("v"))
+
+
+PACK = "part long, width int, size int, ids binary, m binary"
 
 
 def packs(df: DataFrame, rows: int) -> DataFrame:
-    """(part, n, p): blocks of up to rows vectors, as ids and a matrix in bytes; part numbers them within the partitions."""
+    """Blocks of up to rows vectors, as ids and a matrix of integers of ``size`` bytes; part numbers them within the partitions."""
 
     def pack(batches):
         from pyspark import TaskContext
@@ -52,7 +62,8 @@ def packs(df: DataFrame, rows: int) -> DataFrame:
             m = np.zeros((len(vectors), width), np.int64)
             for i, v in enumerate(vectors):
                 m[i, : len(v)] = v
-            return pa.RecordBatch.from_pydict({"part": pa.array([first + k], pa.int64()), "width": pa.array([width], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "m": pa.array([m.astype("<i4").tobytes()], pa.binary())})
+            size = 4 if not m.size or -(1 << 31) <= m.min() <= m.max() < 1 << 31 else 8
+            return pa.RecordBatch.from_pydict({"part": pa.array([first + k], pa.int64()), "width": pa.array([width], pa.int32()), "size": pa.array([size], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "m": pa.array([m.astype(f"<i{size}").tobytes()], pa.binary())})
 
         k = 0
         for batch in batches:
@@ -65,7 +76,7 @@ def packs(df: DataFrame, rows: int) -> DataFrame:
         if ids:
             yield block(k)
 
-    return df.mapInArrow(pack, "part long, width int, ids binary, m binary")
+    return df.mapInArrow(pack, PACK)
 
 
 class Sliced:
@@ -161,10 +172,14 @@ class Sliced:
         if len(rows) < k:
             rows = np.concatenate([rows, self.rows(tied)[: k - len(rows)]])
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
-        scores = np.full(len(rows), shift, np.int64)
+        # Python's integers: sums of large components are wider than a word until the shift is added.
+        scores = [shift] * len(rows)
         for at, s in enumerate(slices):
-            scores += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << at
-        return rows, scores
+            for i in np.flatnonzero((s[word] >> bit) & np.uint64(1)).tolist():
+                scores[i] += 1 << at
+        if any(not -(1 << 63) <= x < 1 << 63 for x in scores):
+            raise OverflowError("a score exceeds 64 bits")
+        return rows, np.array(scores, np.int64)
 
     def rows(self, bits: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little")[: self.n])
@@ -175,44 +190,54 @@ def search(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, rows: i
     spark = tuned(df.sparkSession)
     n = parts(spark)
     all_ = quantised(df)
-    index = packs(all_, rows).withColumn("g", F.pmod(F.xxhash64("part"), F.lit(n)))
-    asked = packs(all_.where(F.col("vec_id") % every == 0), QUERIES).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    asked = asked.select("g", F.col("width").alias("qw"), F.col("ids").alias("qi"), F.col("m").alias("qm"))
+    groups = max(n, -(-df.count() // (HELD * rows)))
+    index = packs(all_, rows).select(F.pmod(F.xxhash64("part"), F.lit(groups)).alias("g"), F.lit(0).alias("asked"), "*")
+    asked = packs(all_.where(F.col("vec_id") % every == 0), QUERIES)
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.lit(1).alias("asked"), "*")
 
     def answer(batches):
-        held, sliced = None, None
+        group, held = None, []
         for batch in batches:
-            out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-            for part, w, ids, m, qw, qi, qm in zip(*(batch.column(c).to_pylist() for c in ("part", "width", "ids", "m", "qw", "qi", "qm")), strict=True):
-                if held != part:
-                    held, sliced = part, Sliced(np.frombuffer(ids, np.int64), np.frombuffer(m, "<i4").reshape(-1, w))
-                qs = np.frombuffer(qm, "<i4").reshape(-1, qw)
-                for i, q in zip(np.frombuffer(qi, np.int64).tolist(), qs, strict=True):
-                    at, scores = sliced.best(q, i, k)
-                    out["query_id"] += [i] * len(at)
-                    out["vec_id"] += sliced.ids[at].tolist()
-                    out["score"] += scores.tolist()
+            out: dict[str, list] = {"q": [], "query_id": [], "vec_id": [], "score": []}
+            for g, asked_, part, w, size, ids, m in zip(*(batch.column(c).to_pylist() for c in ("g", "asked", "part", "width", "size", "ids", "m")), strict=True):
+                if g != group:
+                    group, held = g, []
+                ids, m = np.frombuffer(ids, np.int64), np.frombuffer(m, f"<i{size}").reshape(-1, w)
+                if not asked_:
+                    held.append(Sliced(ids, m))
+                    continue
+                for j, (i, q) in enumerate(zip(ids.tolist(), m, strict=True)):
+                    found = [(block.ids[at], scores) for block in held for at, scores in (block.best(q, i, k),)]
+                    if not found:
+                        continue
+                    others, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+                    top = np.lexsort((others, ~scores))[:k]
+                    out["q"] += [part * QUERIES + j] * len(top)
+                    out["query_id"] += [i] * len(top)
+                    out["vec_id"] += others[top].tolist()
+                    out["score"] += scores[top].tolist()
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
-    pairs = index.join(asked, "g").sortWithinPartitions("part")
-    found = pairs.select("part", "width", "ids", "m", "qw", "qi", "qm").mapInArrow(answer, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows_ = index.unionByName(asked).repartition(n, "g").sortWithinPartitions("g", "asked", "part")
+    found = rows_.mapInArrow(answer, "q long, query_id long, vec_id long, score long")
+    # q: the query's row, as rows may repeat.
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
 with e as (
-  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  select row_number() over () as i, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), u as (
-  select vec_id, unnest(v) as x, generate_subscripts(v, 1) as j from e
+  select i, vec_id, unnest(v) as x, generate_subscripts(v, 1) as j from e
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(sum(q.x * c.x) as bigint) as score
+  select q.i as q, c.i as c, q.vec_id as query_id, c.vec_id, cast(sum(q.x * c.x) as bigint) as score
   from u q join u c on q.j = c.j and q.vec_id <> c.vec_id
-  where q.vec_id % 50 = 0 group by q.vec_id, c.vec_id
+  where q.vec_id % 50 = 0 group by q.i, c.i, q.vec_id, c.vec_id
 ), r as (
-  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+  select *, cast(row_number() over (partition by q order by score desc, vec_id) as integer) as rank from s
 )
 select query_id, rank, vec_id, score from r where rank <= 5
 """

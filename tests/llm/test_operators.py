@@ -536,3 +536,21 @@ def test_steps_are_bounded_by_bytes_and_rows():
     made = list(steps(batches, 1 << 16, 4096))
     assert all(t.num_rows <= 4096 and t.nbytes < 3 << 16 for t in made)
     assert sum((t["text"].to_pylist() for t in made), []) == ["x"] * 16_013 + ["y" * 5000] * 40
+
+
+def test_search_counts_large_components_and_repeated_rows(spark):
+    rng = np.random.default_rng(17)
+    rows = [(int(k), [float(v) for v in rng.normal(size=4)]) for k in range(120)]
+    rows += [(3, rows[3][1]), (3, rows[4][1]), (50, rows[50][1]), (200, [3e6, 1.0, -2e6, 0.5]), (250, [-3e6, 2.0, 1e6, 1e6]), (301, [1e6, 1e6, 0.0, -1e6]), (302, [float("inf"), 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if np.isfinite(v).all()]
+    want = Counter()
+    for i, q in kept:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, w, strict=True)), j) for j, w in kept if j != i)[:5]
+            want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
+    for block in (16, 16384):
+        assert counted(topk.search(df, rows=block).collect(), "query_id", "rank", "vec_id", "score") == want
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.search(huge).collect()
