@@ -64,7 +64,7 @@ def encode(df: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("ids",)) -
         return pa.table({"_b": table["_b"], "_k": table["_k"], "_i": pa.array(out, pa.binary())})
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        vocab = vocabulary(source.value)
+        vocab = vocabulary(source.value).slim()
         got = dict(zip(right["_k"].to_pylist(), right["_i"].to_pylist(), strict=True))
         made = []
         for p in left["_p"].to_pylist():
@@ -90,9 +90,9 @@ def encode(df: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("ids",)) -
 
 def results(doc_id, flat: np.ndarray, offsets: np.ndarray, vocab, outputs: tuple[str, ...]) -> pa.Table:
     lists: dict[str, list] = {c: [] for c in outputs}
-    ends = offsets.tolist()
+    ends, digests = offsets.tolist(), not set(outputs) <= {"ids", "n_tokens"}
     for a, b in zip(ends[:-1], ends[1:], strict=True):
-        ids = flat[a:b].tolist()
+        ids = flat[a:b].tolist() if digests else ()
         if "ids_sha256" in lists:
             lists["ids_sha256"].append(hashlib.sha256(b",".join(map(vocab.decimals.__getitem__, ids))).hexdigest())
         if "decoded_sha256" in lists or "decoded" in lists:
@@ -102,12 +102,12 @@ def results(doc_id, flat: np.ndarray, offsets: np.ndarray, vocab, outputs: tuple
                 lists["decoded"].append(text)
             if "decoded_sha256" in lists:
                 lists["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-        if "ids" in lists:
-            lists["ids"].append(ids)
-        if "n_tokens" in lists:
-            lists["n_tokens"].append(b - a)
-    kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-    return pa.table({"doc_id": doc_id.cast(pa.int64()), **{c: pa.array(lists[c], kinds.get(c, pa.string())) for c in outputs}})
+    made = {c: pa.array(lists[c], pa.string()) for c in outputs if c not in ("ids", "n_tokens")}
+    if "ids" in lists:
+        made["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int32)))
+    if "n_tokens" in lists:
+        made["n_tokens"] = pa.array(np.diff(offsets), pa.int64())
+    return pa.table({"doc_id": doc_id.cast(pa.int64()), **{c: made[c] for c in outputs}})
 
 
 def decode(df: DataFrame, tokenizer: str) -> DataFrame:

@@ -9,8 +9,8 @@ shard, the offset and the number of ids stand. So a keyed read costs one block,
 one probe and one seek, whatever the store's size.
 
 A folder holds ids/shard-*.ids, index/block-*.mph and a table of what was written.
-Files are written under another name and renamed, so a task that runs again leaves
-the same file. Any file system that pyarrow opens by its URI will do.
+Files are written under an attempt's name and renamed in place of what an earlier
+attempt left, so a task that runs again leaves the same file. Any file system that pyarrow opens by its URI will do.
 
 Defined results: a null or empty text is its end id alone; null doc_ids come
 first; rows that share a doc_id follow each other by text and are numbered; an
@@ -47,12 +47,21 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def settle(system, part: str, path: str) -> None:
+    """Renames a written file. Where another attempt's file stands already, as some systems refuse to replace it, that one goes first: it holds the same."""
+    from pyarrow.fs import FileType
+
+    if system.get_file_info(path).type != FileType.NotFound:
+        system.delete_file(path)
+    system.move(part, path)
+
+
 def put(uri: str, data: bytes, attempt: int) -> None:
     system, path = opened(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with system.open_output_stream(f"{path}.{attempt}.part") as out:
         out.write(data)
-    system.move(f"{path}.{attempt}.part", path)
+    settle(system, f"{path}.{attempt}.part", path)
 
 
 def key_hash(ids: np.ndarray, missing: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -175,7 +184,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
             yield pa.RecordBatch.from_pydict({"doc_id": table["doc_id"].combine_chunks(), "number": pa.array(numbers, pa.int64()), "shard": pa.array([shard] * len(numbers), pa.int64()), "at": pa.array(offsets, pa.int64()), "n": pa.array(sizes, pa.int64())})
         if out is not None:
             out.close()
-            system.move(f"{where}.{task.taskAttemptId()}.part", where)
+            settle(system, f"{where}.{task.taskAttemptId()}.part", where)
 
     rows = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows.mapInArrow(write, "doc_id long, number long, shard long, at long, n long").write.parquet(f"{path}/written")

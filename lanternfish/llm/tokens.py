@@ -58,17 +58,13 @@ def vocabulary(source: str) -> "Vocabulary":
 class Vocabulary:
     """Of a tokenizers JSON with a byte-level BPE model."""
 
-    LIMIT = 400_000
+    LIMIT = 60_000
 
     def __init__(self, source: str):
-        from tokenizers import Tokenizer
-
         spec = json.loads(source)
         if spec["model"]["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer") or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("a byte-level BPE tokenizer without normalizer and prefix space is needed")
-        self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.source, self.encoders = source, None
         as_byte = byte_of_char()
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.special_bytes = [x.encode() for x in self.special]
@@ -80,9 +76,25 @@ class Vocabulary:
             self.pieces[x["id"]] = x["content"].encode()
         self.decimals = [b"%d" % i for i in range(size)]
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.plain = self._plain(spec)
         self.known: dict[bytes, bytes] = {}
 
+    def encoder(self):
+        """The library's tokenizer and the quicker one, made when first needed."""
+        if self.encoders is None:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_str(self.source)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            self.encoders = tokenizer, self._plain(json.loads(self.source))
+        return self.encoders
+
+    def slim(self) -> "Vocabulary":
+        """Without what only encoding needs; it takes more memory than all the rest and workers live on."""
+        self.encoders = None
+        self.known.clear()
+        return self
+
     def _plain(self, spec: dict):
         """A quicker encoder for Latin, Greek and Cyrillic text, if ids follow the order of merges."""
         import tiktoken
@@ -101,20 +113,21 @@ class Vocabulary:
     def encode(self, cuts_: list[bytes]) -> list[bytes]:
         """The ids of each cut, as bytes of dtype. Keeps what it has seen, up to LIMIT cuts."""
         known, out, rest = self.known, [], []
+        tokenizer, plain = self.encoder()
         if len(known) > self.LIMIT:
             known.clear()
         for k, cut in enumerate(cuts_):
             ids = known.get(cut)
             if ids is None:
-                if self.plain and (cut.isascii() or max(cut) < 0xD4) and not any(x in cut for x in self.special_bytes):
-                    ids = np.array(self.plain(cut.decode()), self.dtype).tobytes()
+                if plain and (cut.isascii() or max(cut) < 0xD4) and not any(x in cut for x in self.special_bytes):
+                    ids = np.array(plain(cut.decode()), self.dtype).tobytes()
                     if len(cut) < 64:
                         known[cut] = ids
                 else:
                     rest.append(k)
             out.append(ids)
         if rest:
-            for k, e in zip(rest, self.tokenizer.encode_batch([cuts_[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            for k, e in zip(rest, tokenizer.encode_batch([cuts_[k].decode() for k in rest], add_special_tokens=False), strict=True):
                 out[k] = np.array(e.ids, self.dtype).tobytes()
         return out
 

@@ -554,3 +554,27 @@ def test_search_counts_large_components_and_repeated_rows(spark):
     huge = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too large"):
         topk.search(huge).collect()
+
+
+def test_a_file_of_an_earlier_attempt_is_replaced(tmp_path):
+    for attempt, data in ((1, b"first"), (2, b"again")):
+        token_store.put(f"file://{tmp_path}/index/block-000000.mph", data, attempt)
+    assert [(f.name, f.read_bytes()) for f in (tmp_path / "index").iterdir()] == [("block-000000.mph", b"again")]
+
+
+def test_cuts_encode_like_the_library_on_random_text(tokenizer):
+    """All code points below the bound of the quick encoder, in random order with spaces and signs."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from lanternfish.llm.tokens import Cut, vocabulary
+
+    t, r = Tokenizer.from_file(tokenizer), random.Random(18)
+    signs = [" ", " ", "\n", "'", "'s", ".", ",", "  ", "\t", "1"]
+    texts = ["".join(r.choice(signs) if r.random() < 0.3 else chr(r.randrange(1, 0x530)) for _ in range(60)) for _ in range(400)]
+    texts += ["".join(chr(c) for c in range(a, min(a + 40, 0x530))) for a in range(1, 0x530, 40)]
+    vocab = vocabulary(bpe.read_tokenizer(tokenizer))
+    cut = Cut(pa.chunked_array([texts]))
+    flat, ends = cut.joined(vocab.encode(cut.distinct), vocab.dtype)
+    for text, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
+        assert flat[a:b].tolist() == t.encode(text, add_special_tokens=False).ids
