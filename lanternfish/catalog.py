@@ -221,27 +221,27 @@ def envelope_minmax(spark, sf_dir):
     return W.envelope(V.event_signal(spark, sf_dir), 50).withColumns(r6("first", "last", "low", "high"))
 
 
-FEATURES_SQL = """, k as (select track, i, v, i // 50 as win, abs(v - lag(v) over (partition by track, i // 50 order by i)) as step from signal where i < 6000),
-f as (select track, win, min(i) as sample_start, max(i) + 1 as sample_end, avg(v) as mean, sqrt(avg(v * v)) as rms, sum(coalesce(step, 0)) as line_length, max(abs(v)) as peak from k group by all),
-g as (select *, greatest(max(peak) over (partition by track), 1e-12) as scale from f), e as (select *, least(1, greatest(0, rms / scale)) as size, least(1, greatest(-1, mean / scale)) as signed from g)
+FEATURES_SQL = """, k as (select track, i // 6000 as region, i % 6000 // 50 as win, i, v, abs(v - lag(v) over (partition by track, i // 50 order by i)) as step from signal),
+f as (select track, region, win, min(i) as sample_start, max(i) + 1 as sample_end, avg(v) as mean, sqrt(avg(v * v)) as rms, sum(coalesce(step, 0)) as line_length, max(abs(v)) as peak from k group by all),
+g as (select *, greatest(max(peak) over (partition by track, region), 1e-12) as scale from f), e as (select *, least(1, greatest(0, rms / scale)) as size, least(1, greatest(-1, mean / scale)) as signed from g)
 """
 
 
-@query(FEATURES_SQL + f"select track, win as \"window\", sample_start, sample_end, {q6('mean', 'rms', 'line_length', 'scale')} from g", "signal")
+@query(FEATURES_SQL + f"select track, region, win as \"window\", sample_start, sample_end, {q6('mean', 'rms', 'line_length', 'scale')} from g", "signal")
 def feature_windows(spark, sf_dir):
-    return W.features(V.signal(spark, sf_dir), V.FS, 50).withColumns(r6("mean", "rms", "line_length", "scale"))
+    return W.region_features(V.signal(spark, sf_dir), V.FS, 50).withColumns(r6("mean", "rms", "line_length", "scale"))
 
 
-@query(FEATURES_SQL + "select track, win as \"window\", round(420.0 * pow(2.0, signed), 6) as hz, round(0.07 + size * 0.23, 6) as amplitude, 'sine' as wave from e", "signal")
+@query(FEATURES_SQL + "select track, region, win as \"window\", round(420.0 * pow(2.0, signed), 6) as hz, round(0.07 + size * 0.23, 6) as amplitude, 'sine' as wave from e", "signal")
 def contour_map(spark, sf_dir):
-    made = M.styled(M.mapped(W.features(V.signal(spark, sf_dir), V.FS, 50)), "plain-v1")
-    return made.select("track", "window", "hz", "amplitude", "wave").withColumns(r6("hz", "amplitude"))
+    made = M.styled(M.mapped(W.region_features(V.signal(spark, sf_dir), V.FS, 50)), "plain-v1")
+    return made.select("track", "region", "window", "hz", "amplitude", "wave").withColumns(r6("hz", "amplitude"))
 
 
-@query(FEATURES_SQL + "select track, win as \"window\", round(130 + 520 * size, 6) as hz, round((0.05 + size * 0.28) * 0.72, 6) as amplitude, 'sine' as wave from e", "signal")
+@query(FEATURES_SQL + "select track, region, win as \"window\", round(130 + 520 * size, 6) as hz, round((0.05 + size * 0.28) * 0.72, 6) as amplitude, 'sine' as wave from e", "signal")
 def pulse_map_soft(spark, sf_dir):
-    made = M.styled(M.mapped(W.features(V.signal(spark, sf_dir), V.FS, 50), "rms-pulse-v1"), "soft-v1")
-    return made.select("track", "window", "hz", "amplitude", "wave").withColumns(r6("hz", "amplitude"))
+    made = M.styled(M.mapped(W.region_features(V.signal(spark, sf_dir), V.FS, 50), "rms-pulse-v1"), "soft-v1")
+    return made.select("track", "region", "window", "hz", "amplitude", "wave").withColumns(r6("hz", "amplitude"))
 
 
 @query("""with m as (select p_partkey, 69.0::double + 12.0::double * log2(greatest(p_retailprice, 1) / 440.0::double) as midi from part), s as (select o * 12 + d as c from (select unnest(range(-2, 13)) as o), (select unnest([0, 2, 4, 7, 9]) as d))
@@ -397,7 +397,7 @@ def clock_at(spark, sf_dir):
     return t.select("o_orderkey", F.substring(S.format_clock(S.clock_at(start, F.col("o_totalprice") / 10)), 1, 19).alias("clock"))
 
 
-@query("select l_suppkey as recording, list_sort(list(distinct floor(l_quantity * 1000 + 0.5) / 1000))[1] as low, len(list(distinct floor(l_quantity * 1000 + 0.5) / 1000)) > 1 as mixed, arg_min(floor(l_quantity * 1000 + 0.5) / 1000, (l_orderkey, l_linenumber)) as main from lineitem group by l_suppkey")
+@query("select l_suppkey as recording, list_sort(list(distinct floor(l_quantity * 1000 + 0.5) / 1000))[1] as low, len(list(distinct floor(l_quantity * 1000 + 0.5) / 1000)) > 1 as mixed, arg_min(floor(l_quantity * 1000 + 0.5) / 1000, (l_orderkey, l_linenumber, floor(l_quantity * 1000 + 0.5) / 1000)) as main from lineitem group by l_suppkey")
 def rate_summary(spark, sf_dir):
     from lanternfish.sources.edf import rate_summary as summary
 

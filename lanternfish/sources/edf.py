@@ -299,11 +299,12 @@ def to_events(rows: DataFrame) -> DataFrame:
 
 
 def rate_summary(signals_: DataFrame) -> DataFrame:
-    """(recording, rates, mixed, primary): distinct rates to a thousandth; the first microvolt signal's is primary."""
+    """(recording, rates, mixed, primary): distinct rates to a thousandth; the first microvolt signal's is primary, of signals with one index the least."""
     fs = F.floor(F.col("fs") * 1000 + 0.5) / 1000
     own = signals_.where(~F.col("is_annotation")).withColumn("rate", fs)
     micro = F.lower(F.translate("unit", "μ", "µ")).isin("uv", "µv")
-    return own.groupBy("recording").agg(F.array_sort(F.collect_set("rate")).alias("rates"), F.coalesce(F.min_by("rate", F.when(micro, F.col("signal_index"))), F.min_by("rate", "signal_index")).alias("primary")).withColumn("mixed", F.size("rates") > 1)
+    place = F.struct("signal_index", "rate")
+    return own.groupBy("recording").agg(F.array_sort(F.collect_set("rate")).alias("rates"), F.coalesce(F.min(F.when(micro, place)), F.min(place))["rate"].alias("primary")).withColumn("mixed", F.size("rates") > 1)
 
 
 def build(signals_: list[tuple[str, np.ndarray]], fs: int = 200, record: float = 0.1, physical_max: float = 3200.0, notes: list[bytes] | None = None, unit: str = "uV") -> bytes:

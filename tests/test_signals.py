@@ -139,3 +139,17 @@ def test_slowing_and_repeatability():
 
 def test_context_lengths():
     assert screening.context_lengths() == [2, 10, 30] and screening.context_lengths([0.1, 0.1, 999]) == [0.5, 60.0]
+
+
+def test_phenomena_carry_their_own_artifact_probability(spark):
+    """A 14 Hz rhythm and a 9 Hz one, on tracks that only differ in this, and fast activity."""
+    import numpy as np
+
+    from lanternfish.operators import screening
+
+    t = np.arange(200 * 12) / 200.0
+    rows = [(name, name, name, "left", "eeg", 200.0, (40 * np.sin(2 * np.pi * hz * t)).tolist(), k) for k, (name, hz) in enumerate((("T7", 9.0), ("T8", 14.0), ("O1", 30.0)))]
+    df = spark.createDataFrame(rows, "recording string, track string, label string, laterality string, kind string, fs double, samples array<double>, ord int")
+    for found in (screening.temporal(df).collect(), screening.findings(df).where("start is not null").collect()):
+        seen = {(r.recording, r.detector): round(r.artifact, 2) for r in found}
+        assert seen["T7", "rhythmic-activity"] == 0.15 and seen["T8", "rhythmic-activity"] == 0.35 and seen["O1", "fast-activity"] == 0.55

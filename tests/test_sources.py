@@ -103,3 +103,13 @@ def test_scalar_rules(spark):
     ).first()
     assert (row.snap, row.nan, row.fnv, row.empty) == (11.87, 0.0, "e40c292c", "811c9dc5")
     assert (row.clock, row.bad, row.velocity, row.tie, row.half) == ("1985-02-01 10:20:31.500", None, 85 + 2654435761 % 43, 2, -2)
+
+
+def test_rate_summary_breaks_ties_of_one_index(spark):
+    """Of signals with one index the least rate counts, in whatever order rows come."""
+    from lanternfish.sources.edf import rate_summary
+
+    rows = [(r, i, u, False, fs) for r in ("a", "b") for i, u, fs in ((1, "uV", 256.0), (1, "uV", 128.0), (0, "mV", 64.0), (0, "mV", 32.0))] + [("c", 2, "mV", False, 9.0), ("c", 2, "mV", False, 8.0), ("c", 0, "uV", True, 1.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "recording string, signal_index int, unit string, is_annotation boolean, fs double").repartition(3)
+        assert {r.recording: (r.primary, r.mixed, r.rates[0]) for r in rate_summary(df).collect()} == {"a": (128.0, True, 32.0), "b": (128.0, True, 32.0), "c": (8.0, True, 8.0)}
