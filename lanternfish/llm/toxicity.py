@@ -118,7 +118,10 @@ class Model:
         cut, first = windows(column, words)
         ordinary, toxic = compressors(self)
         primer = self.ordinary[-PRIMER:]
-        return lengths(ordinary, cut, primer) - lengths(toxic, cut, primer), first
+        # Copies and stock phrases repeat windows: each is compressed once.
+        distinct = list(dict.fromkeys(cut))
+        saved = dict(zip(distinct, (lengths(ordinary, distinct, primer) - lengths(toxic, distinct, primer)).tolist(), strict=True))
+        return np.fromiter((saved[w] for w in cut), np.int64, len(cut)), first
 
     def sums(self, gains: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Each row's place on the curve."""
@@ -269,7 +272,7 @@ def score(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def mark(batches):
         own = model.value
-        for table in steps(batches, 2 << 20):
+        for table in steps(batches):
             s = own.scores(own.sums(*own.gains(table["text"])))
             yield pa.RecordBatch.from_pydict({"doc_id": table["doc_id"].combine_chunks(), "score": pa.array(s, pa.float64())})
 
