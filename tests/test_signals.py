@@ -125,6 +125,31 @@ def test_periodic_fields_need_neighbours():
     assert "periodic-activity" not in {p["detector"] for p in D.phenomena(apart)}
 
 
+def test_bunched_spikes_are_one_polyspike():
+    at = lambda p, kind="spike": {"type": kind, "peak": p, "start": p - 0.02, "end": p + 0.02, "score": 0.5 + p / 100, "total": 20.0}
+    made = D.polyspikes("a", [at(5.0), at(1.0), at(1.1), at(1.12, "sharp"), at(1.2), at(1.3), at(8.0)])
+    assert [(round(e["start"], 2), e["tracks"], round(e["confidence"], 3)) for e in made] == [(0.85, ["a"], 0.511), (1.05, ["a"], 0.513)]
+    assert made[0]["text"].startswith("2 spike-class peaks · 140 ms") and D.polyspikes("a", [at(1.0), at(2.0)]) == []
+
+
+def test_blinks_are_frontal_and_outdo_posterior_tracks():
+    pulse = np.interp(np.arange(1200), [540, 600, 660], [0, 60, 0])
+    noise = np.random.default_rng(5).normal(size=1200)
+    front, back = track(noise + pulse, "F7"), track(noise, "O1", name="b")
+    assert len(D.blinks([front, back])) == 1 and D.blinks([back]) == []
+    assert D.blinks([front, back | {"samples": noise + 5 * pulse}]) == [] and len(D.blinks([front, back | {"samples": np.full(1200, np.nan)}])) == 1
+
+
+def test_muscle_windows_with_gaps_use_what_they_have():
+    x = 12 * np.sin(2 * np.pi * 40 * t(6))
+    x[100:110] = np.nan
+    assert D.muscle([track(x)])[0]["start"] == 0 and D.muscle([track(np.full(1200, np.nan))]) == [] and D.muscle([track(x[:5])]) == []
+
+
+def test_neighbours():
+    assert D.adjacent("Fp1", "F3-C3") and D.adjacent("T5", "P7") and not D.adjacent("Fp1", "O2") and not D.adjacent("C3", "F4")
+
+
 def test_flat_channels_are_marked():
     made = screening.reviewed([track(np.zeros(2400))], 12.0)
     assert any("Flat or disconnected" in e["text"] or "flat disconnected" in e["text"] for e in made)
