@@ -133,7 +133,7 @@ def test_bunched_spikes_are_one_polyspike():
 
 
 def test_blinks_are_frontal_and_outdo_posterior_tracks():
-    pulse = np.interp(np.arange(1200), [540, 600, 660], [0, 60, 0])
+    pulse = np.interp(np.arange(1200), [550, 600, 650], [0, 60, 0])
     noise = np.random.default_rng(5).normal(size=1200)
     front, back = track(np.where(pulse > 0, pulse, noise), "F7"), track(noise, "O1", name="b")
     assert len(D.blinks([front, back])) == 1 and D.blinks([back]) == []
