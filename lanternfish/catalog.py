@@ -579,7 +579,7 @@ def screening_findings(spark, sf_dir):
     """Rows only."""
     from lanternfish.operators.screening import findings
 
-    return findings(recording(spark, sf_dir)).drop("evidence")
+    return findings(recording(spark, sf_dir)).drop("evidence", "thresholds")
 
 
 @query()

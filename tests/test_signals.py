@@ -178,3 +178,24 @@ def test_phenomena_carry_their_own_artifact_probability(spark):
     for found in (screening.temporal(df).collect(), screening.findings(df).where("start is not null").collect()):
         seen = {(r.recording, r.detector): round(r.artifact, 2) for r in found}
         assert seen["T7", "rhythmic-activity"] == 0.15 and seen["T8", "rhythmic-activity"] == 0.35 and seen["O1", "fast-activity"] == 0.55
+
+
+def test_findings_carry_ids_thresholds_and_polarity(spark):
+    rows = [("r", name, name, side, "eeg", 200.0, (x + 5).tolist(), k) for k, (name, side, x) in enumerate((("F3", "left", sine(2, 40, 8) + sine(20, 4, 8)), ("F4", "right", sine(10, 40, 8)), ("Cz", "midline", np.zeros(1600))))]
+    rows.append(("short", "Fp1", "Fp1", "left", "eeg", 200.0, [1.0, 2.0], 0))
+    df = spark.createDataFrame(rows, "recording string, track string, label string, laterality string, kind string, fs double, samples array<double>, ord int")
+    found, told = screening.findings(df).collect(), screening.evaluations(df).collect()
+    assert {f.recording for f in found} == {"r"} and len({f.id for f in found}) == len(found)
+    slow = next(f for f in found if f.detector == "focal-slowing")
+    assert slow.tracks == ["F3"] and slow.id.startswith("ds-focal-slowing-") and slow.context == 30.0 and slow.polarity in ("positive", "mixed")
+    assert [tuple(t) for t in slow.thresholds] == screening.THRESHOLDS["focal-slowing"]
+    event = next(f for f in found if f.start is not None)
+    assert event.context is None and event.id.endswith(f"-{round(event.start * 1000)}-{round(event.end * 1000)}")
+    assert len(told) == 2 * len(screening.THRESHOLDS)
+    for e in told:
+        assert sorted(e.finding_ids) == sorted(f.id for f in found if (f.recording, f.detector) == (e.recording, e.detector)) and len(e.finding_ids) == e.findings
+    assert {e.status for e in told if e.recording == "short" and e.detector not in ("hemispheric-asymmetry",)} == {"insufficient-data"}
+
+
+def test_polarity_of_channels():
+    assert [screening.polarity(s) for s in ([], ["positive"], ["positive", "mixed"], ["positive", "negative"], ["mixed"], ["negative", "unknown"])] == ["unknown", "positive", "positive", "mixed", "mixed", "unknown"]
