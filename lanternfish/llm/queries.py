@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm import mixing, topk
+from lanternfish.llm import line_dedup, mixing, topk
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -79,5 +79,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_token_store": op8_token_store, "op9_sharding": op9_sharding, "op10_substring_dedup": op10_substring_dedup}
-ORACLE = {"op4_mixing": mixing.ORACLE, "op5_topk": topk.ORACLE}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_token_store": op8_token_store, "op9_sharding": op9_sharding, "op10_substring_dedup": op10_substring_dedup, "op11_line_dedup": op11_line_dedup}
+ORACLE = {"op4_mixing": mixing.ORACLE, "op5_topk": topk.ORACLE, "op11_line_dedup": line_dedup.ORACLE}
