@@ -107,7 +107,7 @@ ORACLE = r"""
 with d as (
   select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
 ), l as (
-  select r, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as at from d
+  select r, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from d
 ), k as (
   select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l
 ), c as (
@@ -117,6 +117,6 @@ with d as (
   select k.*, c.key is not null and k.doc_id is distinct from c.last as gone from k left join c on k.key = c.key
 )
 select any_value(doc_id) as doc_id, count(*) as n_lines, cast(count(*) filter (where gone) as bigint) as n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not gone), '')) as kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from m group by r
 """
