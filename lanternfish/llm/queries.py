@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm import line_dedup, mixing, topk
+from lanternfish.llm import line_dedup, mixing, phrases, topk
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -84,5 +84,9 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_token_store": op8_token_store, "op9_sharding": op9_sharding, "op10_substring_dedup": op10_substring_dedup, "op11_line_dedup": op11_line_dedup}
-ORACLE = {"op4_mixing": mixing.ORACLE, "op5_topk": topk.ORACLE, "op11_line_dedup": line_dedup.ORACLE}
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_token_store": op8_token_store, "op9_sharding": op9_sharding, "op10_substring_dedup": op10_substring_dedup, "op11_line_dedup": op11_line_dedup, "op12_phrases": op12_phrases}
+ORACLE = {"op4_mixing": mixing.ORACLE, "op5_topk": topk.ORACLE, "op11_line_dedup": line_dedup.ORACLE, "op12_phrases": phrases.ORACLE}
