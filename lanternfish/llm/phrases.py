@@ -318,13 +318,12 @@ def mine(df: DataFrame, least: int = 30, longest: int = 4, redundant: int = 80,
     held = longer_ones(found, redundant)
     best = lowest_cuts(found, grams, scale)
     kept = best.join(held, "p", "left").where(F.coalesce(F.lit(100) * F.col("most") < F.lit(redundant) * F.col("a"), F.lit(True))).drop("most")
-    named = spelled(kept, words)
-    out = named.join(totals, "lang")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = out.withColumn("rank", F.row_number().over(order))
+    # With a limit, Spark takes each task's first rows of a lang before it moves them.
+    ranked = spelled(kept, words).withColumn("rank", F.row_number().over(order))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
 def longer_ones(found: DataFrame, redundant: int) -> DataFrame:
