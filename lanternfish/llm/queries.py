@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm import line_dedup, mixing, phrases, topk
+from lanternfish.llm import hard_negatives, line_dedup, mixing, phrases, topk
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -88,5 +88,11 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_token_store": op8_token_store, "op9_sharding": op9_sharding, "op10_substring_dedup": op10_substring_dedup, "op11_line_dedup": op11_line_dedup, "op12_phrases": op12_phrases}
-ORACLE = {"op4_mixing": mixing.ORACLE, "op5_topk": topk.ORACLE, "op11_line_dedup": line_dedup.ORACLE, "op12_phrases": phrases.ORACLE}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_token_store": op8_token_store, "op9_sharding": op9_sharding, "op10_substring_dedup": op10_substring_dedup, "op11_line_dedup": op11_line_dedup, "op12_phrases": op12_phrases, "op13_hard_negatives": op13_hard_negatives}
+ORACLE = {"op4_mixing": mixing.ORACLE, "op5_topk": topk.ORACLE, "op11_line_dedup": line_dedup.ORACLE, "op12_phrases": phrases.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
