@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lanternfish.llm.common import from_blob, parts, stored, to_blob, tuned
 
 #: Rows of a pack, which is a tree; of a leaf; of a group of packs that a task holds, about; queries of a pack.
-ROWS, LEAF, HELD, QUERIES = 8192, 64, 1 << 18, 512
+ROWS, LEAF, HELD, QUERIES = 4096, 512, 1 << 18, 512
 #: Sums of products below this are exact in doubles.
 EXACT = float(1 << 53)
 #: Components below this go to a pack's main tree, larger ones to one of their own.
@@ -102,12 +102,12 @@ def opened(blob) -> tuple[pa.Table, np.ndarray]:
     return table, v.flatten().to_numpy(zero_copy_only=False).reshape(-1, v.type.list_size)
 
 
-def products(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of m's rows with q: doubles where they are exact, else Python's integers."""
+def products(m: np.ndarray, q: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products of m's rows, of components up to most, with q: doubles where they are exact, else Python's integers."""
     n = min(m.shape[1], len(q))
-    m, q = m[:, :n], q[:n]
-    if n * float(np.abs(m.astype(np.float64)).max(initial=0)) * float(np.abs(q).max(initial=0)) < EXACT:
-        return (m.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    m, q = m[:, :n], q[:n].astype(np.float64)
+    if n * most * float(np.abs(q).max(initial=0)) < EXACT:
+        return (m.astype(np.float64) @ q).astype(np.int64)
     whole = [int(x) for x in q]
     return np.array([sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in m.tolist()], dtype=object)
 
@@ -119,6 +119,7 @@ class Tree:
         x = m.astype(np.float64)
         self.norm = np.square(x).sum(axis=1)
         self.top = float(self.norm.max(initial=0))
+        self.most = float(np.abs(x).max(initial=0))
         augmented = np.hstack([x, np.sqrt(np.maximum(0, self.top - self.norm))[:, None]])
         vantage: list[int] = []
         spans, leaves = [], []
@@ -193,7 +194,7 @@ class Query:
         if at not in self.scores:
             tree, k = self.forest.trees[self.tree[at]], int(self.leaf[at])
             rows = slice(int(tree.ends[k - 1]) if k else 0, int(tree.ends[k]))
-            self.scores[at] = tree.ids[rows], tree.labels[rows], products(tree.m[rows], self.q)
+            self.scores[at] = tree.ids[rows], tree.labels[rows], products(tree.m[rows], self.q, tree.most)
         return self.scores[at]
 
     def nearest(self, k: int, fits, least: float = -np.inf, most: float = np.inf) -> list[tuple[int, int]]:
@@ -226,7 +227,9 @@ def number(text: str) -> int:
 def searched(index: DataFrame, asked: DataFrame, groups: int, answer, schema: str) -> DataFrame:
     """answer(forest, columns, vectors) of each pack of queries against each group of the index."""
     n = parts(index.sparkSession)
-    held = index.select(F.pmod(F.xxhash64("part"), F.lit(groups)).alias("g"), F.lit(0).alias("asked"), "part", "blob")
+    # By partition and serial number in turn, which is more even than a hash of few packs.
+    turn = F.shiftright("part", 32) + F.col("part").bitwiseAND((1 << 32) - 1) * 31
+    held = index.select(F.pmod(turn, F.lit(groups).cast("long")).alias("g"), F.lit(0).alias("asked"), "part", "blob")
     asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.lit(1).alias("asked"), "part", "blob")
 
     def run(batches):

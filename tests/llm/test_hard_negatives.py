@@ -80,7 +80,8 @@ def test_scores_below_zero_and_nothing(spark):
     assert all(r.y == r.x for r in low.select("x", hn.long_score("s", "x").alias("y")).collect())
 
 
-def test_bounds_hold_and_pass_leaves_over():
+def test_bounds_hold_and_pass_leaves_over(monkeypatch):
+    monkeypatch.setattr(hn.Tree.__init__, "__defaults__", (64,))
     rng = np.random.default_rng(4)
     centres = rng.normal(0, 60, (20, 16))
     m = np.round(centres[rng.integers(0, 20, 4000)] + rng.normal(0, 6, (4000, 16)))
