@@ -157,3 +157,17 @@ def column_bands(out: DataFrame) -> DataFrame:
 def frame_at(t, win_seconds: float, hop_seconds: float, frames: int):
     """The frame that a time belongs to: from the middle of the first window on, clamped."""
     return F.least(F.lit(frames - 1), F.greatest(F.lit(0), F.floor((F.greatest(t, F.lit(0.0)) - win_seconds / 2) / max(1e-6, hop_seconds))))
+
+
+def regridded(frames: DataFrame, times: int, bins: int) -> DataFrame:
+    """frames(side, t, power array) on a grid of times x bins: the nearest bin by share of the range, the last frame for times past it.
+
+    A frame's bins are picked by place within its array; frames meet their times by an equi-join on the frame that each takes.
+    """
+    last = frames.groupBy("side").agg(F.max("t").alias("_last"))
+    grid = last.select("side", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))).alias("_t"), "_last").select("side", "_t", F.least("_last", "_t").alias("t"))
+    n = F.size("power")
+    # Bins by the rounding of JavaScript: halves go up.
+    at = lambda f: F.least(n - 1, F.floor(f / max(1, bins - 1) * (n - 1) + 0.5)).cast("int")
+    power = F.when(n == bins, F.col("power")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda f: F.get("power", at(f))))
+    return grid.join(frames.select("side", "t", power.alias("power")), ["side", "t"]).select("side", F.col("_t").alias("t"), "power")
