@@ -618,3 +618,6 @@ def render_pcm(spark, sf_dir):
     f = W.region_features(V.signal(spark, sf_dir), V.FS, 50)
     e = M.styled(M.mapped(f), "loui-soft-v1").withColumns({"start": F.col("sample_start") / V.FS, "end": F.col("sample_end") / V.FS})
     return M.rendered_regions(e, 8000)
+
+
+from lanternfish import catalog_chunks  # noqa: E402, F401  registers its queries

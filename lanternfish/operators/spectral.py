@@ -166,8 +166,8 @@ def regridded(frames: DataFrame, times: int, bins: int) -> DataFrame:
     """
     last = frames.groupBy("side").agg(F.max("t").alias("_last"))
     grid = last.select("side", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))).alias("_t"), "_last").select("side", "_t", F.least("_last", "_t").alias("t"))
-    n = F.size("power")
-    # Bins by the rounding of JavaScript: halves go up.
-    at = lambda f: F.least(n - 1, F.floor(f / max(1, bins - 1) * (n - 1) + 0.5)).cast("int")
-    power = F.when(n == bins, F.col("power")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda f: F.get("power", at(f))))
+    # Bins by the rounding of JavaScript: halves go up. The frame stands in a struct, so that it is made once, not for each bin.
+    at = lambda n, f: F.least(n - 1, F.floor(f / max(1, bins - 1) * (n - 1) + 0.5)).cast("int")
+    held = F.array(F.struct(F.col("power").alias("p")))
+    power = F.transform(held, lambda h: F.when(F.size(h["p"]) == bins, h["p"]).otherwise(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda f: F.get(h["p"], at(F.size(h["p"]), f)))))[0]
     return grid.join(frames.select("side", "t", power.alias("power")), ["side", "t"]).select("side", F.col("_t").alias("t"), "power")
