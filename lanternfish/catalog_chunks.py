@@ -182,8 +182,8 @@ x0 as (select raw.track || '#' || page as track, list(cast(v - m as float) order
     plan = chunks.passes(Filters(), FS)
     for k, (section, back) in enumerate(plan):
         out += recursion(f"x{k}", f"x{k + 1}", section, back)
-    return out + f""", y as (select split_part(track, '#', 1) as track, cast(split_part(track, '#', 2) as bigint) as page, generate_subscripts(x, 1) - 1 as at, cast(unnest(x) as double) as v from x{len(plan)}),
-z as (select track, page, at + greatest(0, page * 10 - 10) * 200 as i, v from y)
+    return out + f""", y as (select split_part(track, '#', 1) as track, cast(split_part(track, '#', 2) as bigint) as page, generate_subscripts(x, 1) - 1 as k, cast(unnest(x) as double) as v from x{len(plan)}),
+z as (select track, page, k + greatest(0, page * 10 - 10) * 200 as i, v from y)
 select track, page, i // 20 as "column", count(*) as n, round(min(v), 2) + 0.0 as low, round(max(v), 2) + 0.0 as high from z where i // 2000 = page group by all"""
 
 
