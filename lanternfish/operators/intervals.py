@@ -69,7 +69,10 @@ def quota(events: DataFrame, per_bucket: int = 8, per_track: int = 3, seconds: f
 def refractory(events: DataFrame, seconds: float = 0.2) -> DataFrame:
     """Greedy in order of peak on each track: an event closer than this to the last kept goes, but takes its place if it scores higher."""
     row = F.struct("peak", (-F.col("score")).alias("s"), "id")
-    held = events.groupBy("track").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    # After a gap of this length nothing depends on what was kept before: the events between two gaps are folded by themselves.
+    gap = F.col("peak") - F.lag("peak").over(Window.partitionBy("track").orderBy("peak")) >= seconds
+    islands = events.withColumn("_i", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(Window.partitionBy("track").orderBy("peak").rowsBetween(Window.unboundedPreceding, 0)))
+    held = islands.groupBy("track", "_i").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     kind = "array<struct<peak:double,s:double,id:bigint>>"
 
     def step(kept, r):

@@ -68,3 +68,24 @@ def test_windows_drop_late_rows(spark, tmp_path):
     q = R.feature_windows(stream, "2 seconds", "10 seconds").writeStream.format("memory").queryName("wins").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r.n for r in spark.sql("select n from wins order by start").collect()][:1] == [2]
+
+
+def test_thinned_clusters_and_fields_are_what_a_walk_finds():
+    """The detectors' choices among close peaks, on a grid where gaps are met exactly."""
+    from lanternfish.operators import detectors as D
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        found = [{"type": rng.choice(["spike", "sharp"]), "track": rng.choice("abc"), "peak": rng.randrange(0, 900) / 200, "score": rng.choice([0.5, 0.6, 0.75]), "start": 0.0, "end": 1.0, "total": 9.0, "text": str(k)} for k in range(rng.randrange(0, 80))]
+        kept = []
+        for e in sorted(found, key=lambda e: (e["peak"], -e["score"])):
+            free = not kept or e["peak"] - kept[-1]["peak"] >= 0.2
+            if free or e["score"] > kept[-1]["score"]:
+                kept = [*(kept if free else kept[:-1]), e]
+        assert D.thinned(found) == kept
+        runs = []
+        for e in sorted(found, key=lambda e: (e["peak"], e["type"])):
+            joins = runs and runs[-1][-1]["type"] == e["type"] and e["peak"] - runs[-1][-1]["peak"] <= 0.08 and e["track"] not in {m["track"] for m in runs[-1]}
+            runs = [*runs[:-1], [*runs[-1], e]] if joins else [*runs, [e]]
+        assert [g["text"].tolist() for _, g in D.clusters(found).groupby("cluster")] == [[e["text"] for e in r] for r in runs]
+        assert len(D.cluster_events(found, {"a": 0, "b": 1})) <= len(runs)
