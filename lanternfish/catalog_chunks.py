@@ -197,3 +197,28 @@ def display_pages(spark, sf_dir):
 
 
 ORACLE["display_pages"] = ORACLE["display_pages"].replace("with ", "with recursive ", 1)
+
+
+#: What is clipped: some samples of the view reach 300.
+MOST, RECORD, SEGMENT = 30.0, 0.25, 16
+
+
+@query(
+    f""", n as (select ceil((max(i) + 1) / 50.0::double) * 50 as total from signal), g as (select track, unnest(range(0, cast(total as bigint))) as i from (select distinct track from signal), n),
+d as (select g.track, g.i, least(32767, greatest(-32768, floor((coalesce(v, 0) + {MOST}) / (2 * {MOST}) * 65535 - 32768 + 0.5::double))) as d from g left join signal s on s.track = g.track and s.i = g.i)
+select track, i, round(cast(cast((d + 32768) / 65535.0::double * (2 * {MOST}) - {MOST} as float) as double), 5) + 0.0 as v from d""",
+    "signal",
+)
+def edf_round_trip(spark, sf_dir):
+    """The view as EDF files of 16 records each, written, read back and calibrated."""
+    from lanternfish.sources import edf, edf_writer
+
+    edf.register(spark)
+    s = V.signal(spark, sf_dir).withColumn("recording", F.lit("view"))
+    labels = V.channels(spark).select(F.col("idx").alias("track"), "label", "unit")
+    path = edf_writer.scratch(spark, "edf")
+    rows = edf_writer.records(s, labels, FS, RECORD, MOST, SEGMENT)
+    rows.write.format("edf").option("path", path).option("seconds", RECORD).option("most", MOST).mode("append").save()
+    own = edf.samples(spark.read.format("edf").load(path), edf.signals(spark, path))
+    segment = F.regexp_extract("recording", r"-(\d+)\.edf$", 1).cast("long")
+    return own.select(F.col("track").cast("long").alias("track"), (F.col("i") + segment * round(SEGMENT * RECORD * FS)).alias("i"), (F.round("v", 5) + F.lit(0.0)).alias("v"))

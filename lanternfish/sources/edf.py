@@ -24,6 +24,12 @@ FIXED = (("version", 8), ("patient", 80), ("recording", 80), ("start_date", 8),
 BLOCKS = (("label", 16), ("transducer", 80), ("unit", 8), ("physical_min", 8), ("physical_max", 8), ("digital_min", 8), ("digital_max", 8), ("prefilter", 80), ("samples_per_record", 8), ("reserved", 32))
 
 
+#: Bytes of a file that a task reads at once.
+PARTITION_BYTES = 16 << 20
+#: Signals of all files whose table is sent by broadcast; a longer one is shuffled.
+FEW_SIGNALS = 100_000
+
+
 class EdfError(ValueError):
     pass
 
@@ -136,7 +142,8 @@ class Run(InputPartition):
 
 
 class EdfSource(DataSource):
-    """Options: path (a file or a folder of .edf files), records (a partition's records, 4096), signals (indices, all)."""
+    """Options: path (a file or a folder of .edf files), records (a partition's records, else as many as fit into bytes), bytes
+    (16 MB), signals (indices, all). As a sink: see edf_writer."""
 
     @classmethod
     def name(cls):
@@ -148,11 +155,16 @@ class EdfSource(DataSource):
     def reader(self, schema):
         return EdfReader(self.options)
 
+    def writer(self, schema, overwrite):
+        from lanternfish.sources.edf_writer import EdfWriter
+
+        return EdfWriter(dict(self.options), overwrite)
+
 
 class EdfReader(DataSourceReader):
     def __init__(self, options):
         self.uri = options["path"]
-        self.size = int(options.get("records", 4096))
+        self.size, self.bytes = int(options.get("records", 0)), int(options.get("bytes", PARTITION_BYTES))
         self.signals = [int(x) for x in options.get("signals", "").split(",") if x]
         self.first, self.last = 0, None
 
@@ -173,9 +185,10 @@ class EdfReader(DataSourceReader):
         system, _ = opened(self.uri)
         out = []
         for path in files_of(self.uri):
-            n = header_of(system, path).record_count
-            end = n if self.last is None else min(n, self.last)
-            out += [Run(self.uri, path, a, min(end, a + self.size)) for a in range(self.first, end, self.size)]
+            h = header_of(system, path)
+            end = h.record_count if self.last is None else min(h.record_count, self.last)
+            size = self.size or max(1, self.bytes // max(1, h.bytes_per_record))
+            out += [Run(self.uri, path, a, min(end, a + size)) for a in range(self.first, end, size)]
         return out or [Run(self.uri, "", 0, 0)]
 
     def read(self, part):
@@ -224,6 +237,7 @@ def signals(spark: SparkSession, uri: str) -> DataFrame:
     system, _ = opened(uri)
     rows = [(path, s["index"], s["label"], s["unit"], s["physical_min"], s["physical_max"], s["digital_min"], s["digital_max"], s["samples_per_record"], s["fs"], s["is_annotation"]) for path in files_of(uri) for s in header_of(system, path).signals]
     df = spark.createDataFrame(rows, "recording string, signal_index int, label string, unit string, phys_min double, phys_max double, dig_min int, dig_max int, samples_per_record int, fs double, is_annotation boolean")
+    df = F.broadcast(df) if len(rows) <= FEW_SIGNALS else df
     df = df.withColumn("_key", electrode_key(F.col("label"))).withColumn("kind", kind(F.col("label"), F.col("unit"), F.col("_key"))).drop("_key")
     return df.withColumn("unit_scale", unit_scale(F.col("unit"), F.col("kind")))
 
@@ -241,8 +255,7 @@ def physical(digital, dig_min, dig_max, phys_min, phys_max, scale):
 
 def samples(records: DataFrame, signals_: DataFrame) -> DataFrame:
     """(recording, track, i, v) of records with their signals' calibration, in single precision; annotation signals go."""
-    s = F.broadcast(signals_.where(~F.col("is_annotation")))
-    long = records.join(s, ["recording", "signal_index"]).select("*", F.posexplode("digital").alias("pos", "d"))
+    long = records.join(signals_.where(~F.col("is_annotation")), ["recording", "signal_index"]).select("*", F.posexplode("digital").alias("pos", "d"))
     v = physical(F.col("d").cast("double"), F.col("dig_min"), F.col("dig_max"), F.col("phys_min"), F.col("phys_max"), F.col("unit_scale"))
     return long.select("recording", F.col("signal_index").alias("track"), (F.col("record_index").cast("long") * F.col("samples_per_record") + F.col("pos")).alias("i"), v.cast("float").cast("double").alias("v"))
 
@@ -279,7 +292,7 @@ def annotations(spark: SparkSession, uri: str) -> DataFrame:
     """(recording, onset, duration, text) of all annotation signals."""
     register(spark)
     own = signals(spark, uri).where("is_annotation").select("recording", "signal_index")
-    records = spark.read.format("edf").load(uri).join(F.broadcast(own), ["recording", "signal_index"])
+    records = spark.read.format("edf").load(uri).join(own, ["recording", "signal_index"])
 
     def parse(batches):
         for batch in batches:
