@@ -48,6 +48,8 @@ APART[[32, 9]] = True
 SHARD = 6 << 20
 #: Occurrences whose phrases grow at a time.
 RUN = 1 << 18
+#: Shares of a lang whose phrases are ranked apart before the lang's own.
+SHARES = 64
 #: Bytes of the filter at most, and bits for each entry.
 FILTER_BYTES, FILTER_BITS = 64 << 20, 16
 
@@ -318,9 +320,13 @@ def mine(df: DataFrame, least: int = 30, longest: int = 4, redundant: int = 80,
     held = longer_ones(found, redundant)
     best = lowest_cuts(found, grams, scale)
     kept = best.join(held, "p", "left").where(F.coalesce(F.lit(100) * F.col("most") < F.lit(redundant) * F.col("a"), F.lit(True))).drop("most")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    # With a limit, Spark takes each task's first rows of a lang before it moves them.
-    ranked = spelled(kept, words).withColumn("rank", F.row_number().over(order))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    named = spelled(kept, words)
+    if top is not None:
+        # A lang's first rows are among the first of each of its shares, so that no task ranks all of a lang's phrases.
+        share = Window.partitionBy("lang", F.pmod(F.xxhash64("p"), F.lit(SHARES))).orderBy(*order)
+        named = named.withColumn("_r", F.row_number().over(share)).where(F.col("_r") <= top).drop("_r")
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
