@@ -37,6 +37,8 @@ from lanternfish.llm.common import from_blob, packed, parts, trim
 from lanternfish.llm.textops import bytes_of, row_of, sequence_hashes, sliding_least, whole, word_hashes, word_spans
 
 _POSITION = np.uint64((1 << 24) - 1)
+#: Sequences ranked at once, by the upper 40 bits of their hash and their place in a run; a block of more is ranked in runs.
+RUN = 1 << 23
 #: Bytes of text in a block of documents; its words' arrays take some 25 times as much in a worker.
 BLOCK = 1 << 20
 #: Reference blocks for each partition of a shuffle: one is in a worker's memory at a time.
@@ -53,11 +55,15 @@ class Words:
     def anchored(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, place of the anchor, anchor) of each phrase."""
         grams = sequence_hashes(word_hashes(self.data, self.starts, self.ends), gram)
-        if len(grams) > int(_POSITION):
-            raise ValueError("a block of documents has too many words")
         at = np.flatnonzero(whole(self.firsts, window))
-        ranked = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-        place = (sliding_least(ranked, window - gram + 1)[at] & _POSITION).astype(np.int64)
+        width = window - gram + 1
+        least = []
+        # A run goes on for a phrase's width into the next, so that each phrase is ranked whole in the run where it starts.
+        for a in range(0, max(len(grams) - width + 1, 0), RUN):
+            run = grams[a : a + RUN + width - 1]
+            ranked = (run & ~_POSITION) | np.arange(len(run), dtype=np.uint64)
+            least.append((sliding_least(ranked, width) & _POSITION).astype(np.int64) + a)
+        place = np.concatenate(least)[at] if least else np.zeros(0, np.int64)
         return at, place, grams[place]
 
     def anchors(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lanternfish.llm import bpe, components, fingerprints, mixing, ngram_join, quality, sharding, substring_dedup, textops, token_store, topk, toxicity
@@ -578,3 +579,20 @@ def test_cuts_encode_like_the_library_on_random_text(tokenizer):
     flat, ends = cut.joined(vocab.encode(cut.distinct), vocab.dtype)
     for text, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
         assert flat[a:b].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_anchors_of_a_text_of_many_words(monkeypatch):
+    """Runs of any length give the anchors of one run, and a text of more words than a place has bits for goes through."""
+    rng = random.Random(5)
+    texts = pa.chunked_array([pa.array([" ".join(rng.choice("abc") for _ in range(n)) for n in (900, 3, 0, 40, 1200)])])
+    whole_run = substring_dedup.Words(texts).anchored(35, 12)
+    for run in (1, 7, 64, 2143, 2144):
+        monkeypatch.setattr(substring_dedup, "RUN", run)
+        for a, b in zip(substring_dedup.Words(texts).anchored(35, 12), whole_run, strict=True):
+            assert np.array_equal(a, b)
+    monkeypatch.undo()
+    n = (1 << 24) + 1000
+    words = substring_dedup.Words(pa.chunked_array([pa.array(["x " * (n - 40) + " ".join(map(str, range(40)))])]))
+    at, place, anchor = words.anchored(35, 12)
+    assert len(at) == n - 34 and (at <= place).all() and (place <= at + 23).all()
+    assert (np.diff(place) >= 0).all() and len(np.unique(anchor[: n - 80])) == 1
