@@ -23,11 +23,11 @@ def track_list(tracks, track):
     return F.when(F.size(tracks) > 0, tracks).when(track.isNotNull(), F.array(track))
 
 
-def exported(events: DataFrame) -> DataFrame:
-    """One JSON text for each event; one track as track, several as tracks, none as neither."""
+def exported(events: DataFrame, *keys: str) -> DataFrame:
+    """One JSON text for each event, after the keys; one track as track, several as tracks, none as neither."""
     one = F.when(F.size("tracks") == 1, F.col("tracks")[0])
     many = F.when(F.size("tracks") > 1, F.col("tracks"))
-    return events.select(F.to_json(F.struct("start", "end", "type", "text", one.alias("track"), "source", "confidence", many.alias("tracks"))).alias("value"))
+    return events.select(*keys, F.to_json(F.struct("start", "end", "type", "text", one.alias("track"), "source", "confidence", many.alias("tracks"))).alias("value"))
 
 
 def write(events: DataFrame, path: str) -> None:
@@ -35,6 +35,29 @@ def write(events: DataFrame, path: str) -> None:
     exported(events.orderBy("start", "end")).write.text(path)
 
 
+def array_lines(events: DataFrame) -> DataFrame:
+    """(part, start, end, line): lines that in this order are one JSON array; equal events keep their number.
+
+    Parts 0 and 2 are the brackets. Times and confidence have six decimals. The first element alone has no comma before it;
+    it is found as the least (start, end, text of the object), one row.
+    """
+    fixed = {x: F.round(x, 6).cast("decimal(24,6)") for x in ("start", "end", "confidence")}
+    rows = exported(events.withColumns(fixed), "start", "end").groupBy("start", "end", "value").count()
+    first = rows.agg(F.min(F.struct("start", "end", "value")).alias("_first"))
+    lead = rows.crossJoin(F.broadcast(first)).withColumn("_lead", F.struct("start", "end", "value") == F.col("_first"))
+    copies = F.transform(F.sequence(F.lit(1), F.col("count")), lambda k: F.concat(F.when(F.col("_lead") & (k == 1), "").otherwise(","), "value"))
+    lines = lead.select(F.lit(1).alias("part"), "start", "end", F.explode(copies).alias("line"))
+    ends = events.sparkSession.createDataFrame([(0, "["), (2, "]")], "part int, line string")
+    return lines.unionByName(ends.select("part", *(F.lit(None).cast("decimal(24,6)").alias(x) for x in ("start", "end")), "line"))
+
+
+def write_array(events: DataFrame, path: str) -> None:
+    """A folder of text files whose concatenation in order of name is one JSON array, dealt by ranges of start."""
+    # "{" sorts after ",": the element without a comma comes last among lines of its start and end, unless its comma is left out of the order.
+    order = ("part", "start", "end", F.ltrim(F.lit(","), "line"), F.col("line").startswith(","))
+    array_lines(events).repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("line").alias("value")).write.text(path)
+
+
 def edited(events: DataFrame, changes: DataFrame) -> DataFrame:
     """events with changes(id, text, type, start, end) applied to rows of the user only."""
     c = changes.select("id", *(F.col(x).alias(f"_{x}") for x in ("text", "type", "start", "end")))
