@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanternfish.catalog import ORACLE, query, r6
-from lanternfish.operators import chunks, pyramid, running, segments, spectral
+from lanternfish.operators import chunks, pyramid, running, segments, spectral, unmixing
 from lanternfish.operators import montage as G
 from lanternfish.operators.display import View
 from lanternfish.operators.dsp import Filters, highpass
@@ -222,3 +222,42 @@ def edf_round_trip(spark, sf_dir):
     own = edf.samples(spark.read.format("edf").load(path), edf.signals(spark, path))
     segment = F.regexp_extract("recording", r"-(\d+)\.edf$", 1).cast("long")
     return own.select(F.col("track").cast("long").alias("track"), (F.col("i") + segment * round(SEGMENT * RECORD * FS)).alias("i"), (F.round("v", 5) + F.lit(0.0)).alias("v"))
+
+
+@query(
+    """, n as (select min(c) as least from (select count(*) as c from signal where track < 9 group by track)),
+r as (select i, a.v as p, b.v as q from signal a join signal b using (i) join n on i < least where a.track = 0 and b.track = 1),
+f as (select track, covar_pop(v, p) as vp, covar_pop(v, q) as vq, var_pop(p) as pp, var_pop(q) as qq, covar_pop(p, q) as pq, avg(p) as mp, avg(q) as mq from signal join r using (i) where track between 2 and 8 group by track),
+w as (select track, mp, mq, (vp * qq - vq * pq) / (pp * qq - pq * pq) as wp, (vq * pp - vp * pq) / (pp * qq - pq * pq) as wq from f),
+o as (select s.track, i, cast(cast(v - wp * (p - mp) - wq * (q - mq) as float) as double) as v from signal s join w using (track) join r using (i)
+  union all select track, i, v from signal join n on i >= least or track not between 2 and 8)
+select track, i, round(v, 4) + 0.0 as v from o""",
+    "signal",
+)
+def regressed_blocks(spark, sf_dir):
+    """Seven channels less what follows both frontal poles, which stand in for eye channels, in blocks of 500 samples."""
+    c = G.described(V.channels(spark)).select(F.lit("view").alias("recording"), F.col("idx").alias("track"), F.col("idx").alias("ord"), F.col("canonical").alias("label"), "kind")
+    return unmixing.cleaned(V.signal(spark, sf_dir), c, FS, size=SMALL).withColumn("v", F.round("v", 4) + F.lit(0.0))
+
+
+@query(
+    """with c as (select c_custkey // 8 as recording, c_custkey as ord, case when c_custkey % 7 = 0 then 'EEG Fp' || (c_custkey % 2 + 1) || '-' || c_name else c_name end as label,
+  case when c_mktsegment = 'MACHINERY' and c_nationkey % 3 = 0 then 'eog' when c_mktsegment = 'FURNITURE' and c_nationkey % 2 = 0 then 'emg' else 'eeg' end as kind, c_custkey % 7 = 0 as pole from customer),
+l as (select recording, string_agg(label, ', ' order by ord) filter (where kind = 'eog') as eog, string_agg(label, ', ' order by ord) filter (where kind = 'emg') as emg, string_agg(label, ', ' order by ord) filter (where kind = 'eeg' and pole) as poles from c group by recording),
+m as (select recording, eog, emg, case when eog is null then poles end as proxies from l)
+select recording, coalesce(eog, '') as eog, coalesce(emg, '') as emg, coalesce(proxies, '') as ocular_proxies, concat_ws(', ', eog, emg, proxies) as used,
+  case when eog is not null and emg is not null then 'Using ' || eog || ' and ' || emg || ' as noise references.'
+    when eog is not null then 'Using ' || eog || ' as ocular references. No EMG channel in this montage.'
+    when emg is not null and proxies is not null then 'Using ' || emg || ' as muscle references and ' || proxies || ' as ocular proxies.'
+    when emg is not null then 'Using ' || emg || ' as muscle references. No EOG channel in this montage.'
+    when proxies is not null then 'No EOG/EMG channels. Using ' || proxies || ' as ocular proxies.'
+    else 'No EOG, EMG, or frontal ocular-proxy channels in this window.' end as summary from m"""
+)
+def noise_references(spark, sf_dir):
+    """The report for recordings of eight channels each, made from customers."""
+    c = V.table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    label = F.when(key % 7 == 0, F.concat(F.lit("EEG Fp"), (key % 2 + 1).cast("string"), F.lit("-"), "c_name")).otherwise(F.col("c_name"))
+    kind = F.when((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_nationkey") % 3 == 0), "eog").when((F.col("c_mktsegment") == "FURNITURE") & (F.col("c_nationkey") % 2 == 0), "emg").otherwise("eeg")
+    out = unmixing.noise_references(c.select(F.floor(key / 8).alias("recording"), key.alias("ord"), label.alias("label"), kind.alias("kind")))
+    return out.select("recording", *(F.array_join(x, ", ").alias(x) for x in ("eog", "emg", "ocular_proxies", "used")), "summary")

@@ -56,9 +56,8 @@ def common_average(x: np.ndarray) -> np.ndarray:
     return single(x - x.mean(axis=0)) if len(x) > 1 else x
 
 
-def whitened(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """(z, back): centred rows with unit covariance along principal axes, and the way back; weak axes are kept at zero."""
-    cov = x @ x.T / x.shape[1]
+def whitening(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(down, back) of a covariance: down @ rows have unit covariance along principal axes, back returns; weak axes are kept at zero."""
     values, axes = np.linalg.eigh(cov)
     order = np.argsort(-values)
     values, axes = values[order], axes[:, order]
@@ -70,7 +69,7 @@ def whitened(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     scale = np.where(keep, np.sqrt(np.maximum(values, 1e-300)), 0)
     with np.errstate(divide="ignore"):
         inverse = np.where(keep, 1 / np.where(scale > 0, scale, 1), 0)
-    return (axes * inverse).T @ x, axes * scale
+    return (axes * inverse).T, axes * scale
 
 
 def start_vector(n: int, seed: int) -> np.ndarray:
@@ -83,20 +82,12 @@ def start_vector(n: int, seed: int) -> np.ndarray:
     return v / max(1e-12, np.linalg.norm(v))
 
 
-def independent(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """(mixing, sources) of centred rows by deflation with tanh."""
-    c, n = x.shape
-    if c < 2 or n < 4 * c:
-        return None
-    d = x - x.mean(axis=1, keepdims=True)
-    white = whitened(d)
-    if white is None:
-        return None
-    z, back = white
-    fit = z[:, :: max(1, -(-n // FIT_COLUMNS))]
+def deflated(fit: np.ndarray, first: float) -> np.ndarray | None:
+    """Directions of white columns, one after another by tanh; first is the first centred sample, which the start depends on."""
+    c = len(fit)
     found = np.zeros((0, c))
     for k in range(c):
-        w = start_vector(c, 1 + k * 17 + int(abs(d[0, 0]) * 1000 + 0.5))
+        w = start_vector(c, 1 + k * 17 + int(abs(first) * 1000 + 0.5))
         for _ in range(ITERATIONS):
             u = np.tanh(w @ fit)
             new = fit @ u / fit.shape[1] - (1 - u * u).mean() * w
@@ -109,9 +100,22 @@ def independent(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
             if settled:
                 break
         found = np.vstack([found, w])
-    if abs(np.linalg.det(found)) < 1e-12:
+    return None if abs(np.linalg.det(found)) < 1e-12 else found
+
+
+def independent(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(mixing, sources) of centred rows by deflation with tanh."""
+    c, n = x.shape
+    if c < 2 or n < 4 * c:
+        return None
+    d = x - x.mean(axis=1, keepdims=True)
+    white = whitening(d @ d.T / n)
+    if white is None:
         return None
-    return back @ np.linalg.inv(found), found @ z
+    down, back = white
+    z = down @ d
+    found = deflated(z[:, :: max(1, -(-n // FIT_COLUMNS))], d[0, 0])
+    return None if found is None else (back @ np.linalg.inv(found), found @ z)
 
 
 def without_components(x: np.ndarray, references: np.ndarray, proxies: list[bool]) -> np.ndarray:
