@@ -121,10 +121,12 @@ def cleaned(samples: DataFrame, channels: DataFrame, fs: float, regression: bool
     place = F.struct(F.when(F.col("role") == "target", 0).when(F.col("role") == "eye", 1).otherwise(2), "ord", "track")
     used = used.withColumns({"least": F.min("n").over(in_recording), "c": F.sum((F.col("role") == "target").cast("int")).over(in_recording), "row": F.row_number().over(in_recording.orderBy(place)) - 1}).where("c > 0")
     used = used.select("recording", "track", "role", "least", "c", "row", "shift")
-    muscle = samples.join(used.where("role = 'muscle'").select("track"), "track")
-    muscle = chunks.out_of_chunks(chunks.filtered(chunks.in_chunks(muscle, size), MUSCLE, fs), size)
-    plain = samples.join(used.where("role <> 'muscle'").select("track"), "track")
-    inputs = plain.unionByName(muscle).join(used, "track").where("i < least")
+    inputs = samples.join(used.where("role <> 'muscle'").select("track"), "track")
+    # A look at the list of channels spares the filter's passes where nothing is to be filtered.
+    if not channels.where("kind = 'emg'").isEmpty():
+        muscle = samples.join(used.where("role = 'muscle'").select("track"), "track")
+        inputs = inputs.unionByName(chunks.out_of_chunks(chunks.filtered(chunks.in_chunks(muscle, size), MUSCLE, fs), size))
+    inputs = inputs.join(used, "track").where("i < least")
     value = F.transform(F.array_sort(F.collect_list(F.struct("row", "i", "v"))), lambda r: r["v"])
     first = {"c": F.first("c"), "rows": F.max("row") + 1, "shift": F.transform(F.array_sort(F.collect_set(F.struct("row", "shift"))), lambda r: r["shift"]), "tracks": F.transform(F.array_sort(F.collect_set(F.struct("row", "track"))), lambda r: r["track"])}
     blocks = inputs.groupBy("recording", F.floor(F.col("i") / size).alias("block")).agg(*(x.alias(k) for k, x in first.items()), value.alias("x"))
@@ -147,8 +149,12 @@ def cleaned(samples: DataFrame, channels: DataFrame, fs: float, regression: bool
     name = dict(channels.dtypes)["recording"]
     moments = blocks.select("recording", "rows", "shift", "x").mapInArrow(products, f"recording {name}, a long, b long, s double").groupBy("recording", "a", "b").agg(F.sum("s").alias("s"))
     moments = moments.groupBy("recording").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "s"))), lambda r: r["s"]).alias("m"))
-    stride = F.greatest(F.lit(1), F.ceil(F.col("least") / spatial.FIT_COLUMNS)) if ica else F.col("least")
-    sampled = inputs.where(F.col("i") % stride == 0).groupBy("recording").agg(*(first[k].alias(k) for k in ("c", "rows", "shift")), value.alias("fit"))
+    held = ("c", "rows", "shift")
+    if ica:
+        stride = F.greatest(F.lit(1), F.ceil(F.col("least") / spatial.FIT_COLUMNS))
+        sampled = inputs.where(F.col("i") % stride == 0).groupBy("recording").agg(*(first[k].alias(k) for k in held), value.alias("fit"))
+    else:
+        sampled = blocks.groupBy("recording").agg(*(F.first(k).alias(k) for k in held)).withColumn("fit", F.array().cast("array<double>"))
 
     def model(batches):
         for batch in batches:
