@@ -640,4 +640,4 @@ def render_pcm(spark, sf_dir):
 for _name in ("greedy_quota", "refractory_fold"):
     ORACLE[_name] = ORACLE[_name].replace("with ", "with recursive ", 1)
 
-from lanternfish import catalog_chunks, catalog_sessions  # noqa: E402, F401  they register their queries
+from lanternfish import catalog_chunks, catalog_sessions, catalog_voices  # noqa: E402, F401  they register their queries
