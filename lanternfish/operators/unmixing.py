@@ -4,7 +4,8 @@ All steps of spatial.cleaned (regression, components, projection, common average
 are affine in a moment's samples, and all that they are fitted on are means and
 covariances, and for the components at most 8192 columns besides. So no task holds
 a recording: a block holds its channels times ``size`` samples, a model channels
-squared.
+squared. The list of channels and the blocks are tables in the shared folder,
+as several jobs read them; so samples are sorted into blocks once.
 
 Defined results: channels of one recording share a rate and are dense in i from 0;
 what lies beyond the shortest channel, channels of at most 8 samples and references
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.operators import chunks, spatial
 from lanternfish.operators.dsp import Filters, single
+from lanternfish.sources.edf_writer import scratch
 
 #: Samples of a channel in a block.
 SIZE = 1024
@@ -112,6 +114,13 @@ def fitted(n: int, mean: np.ndarray, cov: np.ndarray, c: int, fit: np.ndarray, r
     return own, offset
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table in the shared folder."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def cleaned(samples: DataFrame, channels: DataFrame, fs: float, regression: bool = True, ica: bool = False, project: bool = False, size: int = SIZE) -> DataFrame:
     """(track, i, v) of samples(track, i, v) with the targets of each recording cleaned; channels(recording, track, ord, label, kind), track unique."""
     counts = samples.groupBy("track").agg(F.count("*").alias("n"), F.avg("v").alias("shift")).where("n > 8")
@@ -120,7 +129,7 @@ def cleaned(samples: DataFrame, channels: DataFrame, fs: float, regression: bool
     # Targets come first, then eye channels, then muscle channels.
     place = F.struct(F.when(F.col("role") == "target", 0).when(F.col("role") == "eye", 1).otherwise(2), "ord", "track")
     used = used.withColumns({"least": F.min("n").over(in_recording), "c": F.sum((F.col("role") == "target").cast("int")).over(in_recording), "row": F.row_number().over(in_recording.orderBy(place)) - 1}).where("c > 0")
-    used = used.select("recording", "track", "role", "least", "c", "row", "shift")
+    used = stored(used.select("recording", "track", "role", "least", "c", "row", "shift"), "channels")
     inputs = samples.join(used.where("role <> 'muscle'").select("track"), "track")
     # A look at the list of channels spares the filter's passes where nothing is to be filtered.
     if not channels.where("kind = 'emg'").isEmpty():
@@ -130,6 +139,7 @@ def cleaned(samples: DataFrame, channels: DataFrame, fs: float, regression: bool
     value = F.transform(F.array_sort(F.collect_list(F.struct("row", "i", "v"))), lambda r: r["v"])
     first = {"c": F.first("c"), "rows": F.max("row") + 1, "shift": F.transform(F.array_sort(F.collect_set(F.struct("row", "shift"))), lambda r: r["shift"]), "tracks": F.transform(F.array_sort(F.collect_set(F.struct("row", "track"))), lambda r: r["track"])}
     blocks = inputs.groupBy("recording", F.floor(F.col("i") / size).alias("block")).agg(*(x.alias(k) for k, x in first.items()), value.alias("x"))
+    blocks = stored(blocks, "blocks")
 
     def products(batches):
         for batch in batches:
@@ -154,7 +164,7 @@ def cleaned(samples: DataFrame, channels: DataFrame, fs: float, regression: bool
         stride = F.greatest(F.lit(1), F.ceil(F.col("least") / spatial.FIT_COLUMNS))
         sampled = inputs.where(F.col("i") % stride == 0).groupBy("recording").agg(*(first[k].alias(k) for k in held), value.alias("fit"))
     else:
-        sampled = blocks.groupBy("recording").agg(*(F.first(k).alias(k) for k in held)).withColumn("fit", F.array().cast("array<double>"))
+        sampled = used.groupBy("recording").agg(*(first[k].alias(k) for k in held)).withColumn("fit", F.array().cast("array<double>"))
 
     def model(batches):
         for batch in batches:
