@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.functions.scalars import equal_power, pentatonic_hz, scale_offset, velocity
 from lanternfish.operators.windows import epochs
 
+#: Fixed value: the loudest sample.
+CEILING = 0.89
 STYLES = ("plain-v1", "soft-v1", "pentatonic-v1", "loui-neutral-v1", "loui-soft-v1")
 
 
@@ -54,19 +60,60 @@ def rendered(events: DataFrame, rate: int, start: float = 0.0, end: float = 30.0
 def rendered_regions(events: DataFrame, rate: int, seconds: float = 30.0) -> DataFrame:
     """(region, i, left, right): rendered() of each region's events, with i and the peak its own.
 
-    A region is dealt to one task as events and stays there; its at most 30 s bound what that task holds.
+    Events are dealt by region to a number of tasks that adaptive execution keeps, as they are few bytes next to their sound.
+    A task adds up one region after the other in two arrays, and its at most 30 s bound what the task holds, however many
+    regions it gets.
     """
     seconds = min(seconds, 30.0)
     at = {x: F.col(x) - F.col("region") * seconds for x in ("start", "end")}
-    mixed = _mixed(events.repartition("region").withColumns(at), rate, seconds, "region", "i")
-    peak = F.max(F.greatest(F.abs("left"), F.abs("right"))).over(Window.partitionBy("region"))
-    return _limited(mixed.withColumn("peak", peak), "region", "i")
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gl, gr = equal_power(F.col("pan"))
+    sounding = _placed(events.withColumns(at), rate, seconds).select("region", "a", "b", "hz", (gl * F.col("amplitude")).alias("gl"), (gr * F.col("amplitude")).alias("gr"), "wave")
+    length = int(-(-seconds * rate // 1))
+
+    def work(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, heard, sound = np.zeros(length, bool), np.zeros(length, bool), np.zeros((2, length))
+        for batch in batches:
+            for a, b, hz, left, right, wave in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "hz", "gl", "gr", "wave")), strict=True):
+                held[a:b] = True
+                if hz is None or left is None or right is None:  # no sound, as a sum passes over nulls
+                    continue
+                heard[a:b] = True
+                shaped = _tone(hz, wave, b - a, rate)
+                sound[0, a:b] += shaped * left
+                sound[1, a:b] += shaped * right
+        peak = np.abs(sound).max(initial=0.0)
+        if not peak <= CEILING:
+            sound *= CEILING / peak
+        i = np.flatnonzero(held)
+        for k in range(0, len(i), 65_536):
+            own = i[k : k + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(own), pa.int64()), pa.array(own, pa.int64()), *(pa.array(x[own], pa.float64(), mask=~heard[own]) for x in sound)], ["region", "i", "left", "right"])
+
+    return sounding.repartition(parts, "region").groupBy("region").applyInArrow(work, "region long, i long, left double, right double")
+
+
+def _tone(hz: float, wave: str | None, n: int, rate: int) -> np.ndarray:
+    """n samples of a tone under half a sine, as _mixed() makes it."""
+    k = np.arange(n)
+    phase = 2 * np.pi * hz * (k / rate)
+    tone = np.sin(phase)
+    if wave == "pulse":
+        tone = np.where(tone >= 0, 1.0, -1.0)
+    elif wave == "soft-sine":
+        tone += 0.18 * np.sin(phase * 2)
+    return tone * np.sin(np.pi * k / max(1, n - 1))
+
+
+def _placed(events: DataFrame, rate: int, seconds: float) -> DataFrame:
+    """events with a and b, the first sample and the one after the last between 0 and seconds; those without any go."""
+    length = int(-(-seconds * rate // 1))
+    return events.withColumns({"a": F.greatest(F.lit(0), F.floor(F.col("start") * rate)), "b": F.least(F.lit(length), F.ceil(F.col("end") * rate))}).where("a < b")
 
 
 def _mixed(events: DataFrame, rate: int, seconds: float, *keys: str) -> DataFrame:
     """(*keys, left, right): the sum of tones from 0 to seconds."""
-    length = int(-(-seconds * rate // 1))
-    at = events.withColumns({"a": F.greatest(F.lit(0), F.floor(F.col("start") * rate)), "b": F.least(F.lit(length), F.ceil(F.col("end") * rate))}).where("a < b")
+    at = _placed(events, rate, seconds)
     tones = at.withColumn("i", F.explode(F.sequence(F.col("a"), F.col("b") - 1)))
     k = F.col("i") - F.col("a")
     phase = 2 * F.pi() * F.col("hz") * (k / rate)
@@ -77,5 +124,5 @@ def _mixed(events: DataFrame, rate: int, seconds: float, *keys: str) -> DataFram
 
 
 def _limited(mixed: DataFrame, *keys: str) -> DataFrame:
-    gain = F.when(F.col("peak") > 0.89, F.lit(0.89) / F.col("peak")).otherwise(1.0)
+    gain = F.when(F.col("peak") > CEILING, F.lit(CEILING) / F.col("peak")).otherwise(1.0)
     return mixed.select(*keys, (F.col("left") * gain).alias("left"), (F.col("right") * gain).alias("right"))

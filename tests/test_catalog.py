@@ -58,3 +58,25 @@ def test_render_pcm_sounds_every_sample_of_every_track(spark, sf):
         f = W.features(s, 200.0, 50, float(k), float(k + 1))
         want = M.rendered(M.mapped(f).withColumns(at), 1000, float(k), float(k + 1)).toPandas().sort_values("i")
         assert len(own) and own.i.tolist() == want.i.tolist() and np.allclose(own[["left", "right"]], want[["left", "right"]])
+
+
+def test_regions_sound_in_many_tasks_that_hold_one_region(spark):
+    """Few events make much sound: adaptive execution must not join them into one task, nor a task sort or hash samples."""
+    from pyspark.sql import functions as F
+
+    from lanternfish.operators import mapping as M
+
+    tone = lambda region, start, hz, amplitude=0.2: (region, region + start, region + start + 0.5, hz, amplitude, 0.5, "soft-sine")
+    rows = [tone(r, s / 4, 200.0 + r) for r in range(40) for s in range(3)] + [tone(40, 0.0, None), tone(40, 0.25, 300.0, 5.0)]
+    events = spark.createDataFrame(rows, "region long, start double, end double, hz double, amplitude double, pan double, wave string").coalesce(1)
+    made = M.rendered_regions(events, 1000, 1.0)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "Window" not in plan
+    assert made.groupBy(F.spark_partition_id()).count().count() > 1
+    got = made.toPandas()
+    assert got.groupby("region").i.count().tolist() == [1000] * 40 + [750]
+    last = got[got.region == 40].sort_values("i")
+    # A tone without pitch holds its time, but has no sound of its own; the loud one is brought under the ceiling.
+    assert last.left.isna().tolist() == [i < 250 for i in last.i] and abs(last[["left", "right"]].abs().max().max() - 0.89) < 1e-9
+    one = M.rendered(events.where("region = 40"), 1000, 40.0, 41.0).toPandas().sort_values("i")
+    assert (last.i.tolist(), last.left.isna().tolist()) == (one.i.tolist(), one.left.isna().tolist()) and abs(last.left.to_numpy() - one.left.to_numpy())[250:].max() < 1e-12
