@@ -199,3 +199,41 @@ def test_findings_carry_ids_thresholds_and_polarity(spark):
 
 def test_polarity_of_channels():
     assert [screening.polarity(s) for s in ([], ["positive"], ["positive", "mixed"], ["positive", "negative"], ["mixed"], ["negative", "unknown"])] == ["unknown", "positive", "positive", "mixed", "mixed", "unknown"]
+
+
+def test_spectra_from_pieces_are_those_of_whole_tracks(spark, monkeypatch):
+    """Tracks with gaps, of several rates and lengths, shorter than a window and longer than 1400 frames."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(spectral, "PIECE", 300)
+    rng = np.random.default_rng(5)
+    lengths, rates = {0: 1, 1: 257, 2: 5000, 3: 3001, 4: 100_000, 5: 5000, 6: 40}, {k: 50.0 if k == 4 else 200.0 if k != 3 else 400.0 for k in range(7)}
+    tracks = {k: rng.standard_normal(n) for k, n in lengths.items()}
+    tracks[5][77] = np.nan
+    rows = [(k, 2 * i + i // 1000 * 5000, float(x)) for k, v in tracks.items() for i, x in enumerate(v)]
+    samples = spark.createDataFrame(rows, "track long, i long, v double").where("i != 154 or track != 5").unionByName(spark.createDataFrame([(5, 154, None)], "track long, i long, v double"))
+    named = spark.createDataFrame([(k, "left" if k < 5 else "right", f) for k, f in rates.items()] + [(9, "left", 200.0)], "track long, laterality string, fs double")
+    counted = spectral.pieces(samples)
+    plan = spectral.framed(named, counted)
+    long = spectral.spectra(samples, counted, plan)
+    got = long.groupBy("track", "t").agg(F.array_sort(F.collect_list(F.struct("f", "hz", "power"))).alias("p")).collect()
+    made = {(r.track, r.t): r.p for r in got}
+    seen = 0
+    for k, x in tracks.items():
+        fs = rates[k]
+        win = {50.0: 256, 200.0: 512, 400.0: 1024}[fs]
+        hop = win // 4 if (max(0, len(x) - win) // (win // 4)) + 1 <= 1400 else -(-(len(x) - win) // 1399)
+        want = spectral.spectrogram(x, fs, win, hop, 45.0)
+        assert len(want) <= 1400 and (k != 4 or hop > win // 4)
+        for t, line in enumerate(want):
+            assert np.array_equal([c.power for c in made[k, t]], line, equal_nan=True), (k, t)
+            assert np.allclose([c.hz for c in made[k, t]], np.arange(len(line)) * fs / win)
+        seen += len(want)
+    assert len(made) == seen
+    # One side alone is copied to the other; times that a track lacks go.
+    ours = plan.where("track in (1, 2)")
+    both = spectral.hemispheres(spectral.spectra(samples, counted, ours), ours).collect()
+    cells = {(r.side, r.t, r.f): r.power for r in both}
+    assert {t for _, t, _ in cells} == {0} and len(cells) == len(both) and all(cells["left", 0, f] == cells["right", 0, f] for f in range(100))
+    a, b = (spectral.spectrogram(tracks[k], 200.0, 512, 128, 45.0)[0].astype(float) for k in (1, 2))
+    assert np.isclose(cells["left", 0, 9], ((a[9] ** 1.35 + b[9] ** 1.35) / 2) ** (1 / 1.35))
