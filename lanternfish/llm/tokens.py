@@ -58,7 +58,8 @@ def vocabulary(source: str) -> "Vocabulary":
 class Vocabulary:
     """Of a tokenizers JSON with a byte-level BPE model."""
 
-    LIMIT = 60_000
+    #: Cuts that are encoded in one call.
+    AT_ONCE = 65_536
 
     def __init__(self, source: str):
         spec = json.loads(source)
@@ -76,7 +77,6 @@ class Vocabulary:
             self.pieces[x["id"]] = x["content"].encode()
         self.decimals = [b"%d" % i for i in range(size)]
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[bytes, bytes] = {}
 
     def encoder(self):
         """The library's tokenizer and the quicker one, made when first needed."""
@@ -92,7 +92,6 @@ class Vocabulary:
     def slim(self) -> "Vocabulary":
         """Without what only encoding needs; it takes more memory than all the rest and workers live on."""
         self.encoders = None
-        self.known.clear()
         return self
 
     def _plain(self, spec: dict):
@@ -106,31 +105,65 @@ class Vocabulary:
         ranks = {self.pieces[i]: i for i in vocab.values() if i not in special}
         if sum(len(p) == 1 for p in ranks) != 256:
             return None
+        self.line_feed = ranks[b"\n"]
         # The byte-level pre-tokenizer's pattern, a fixed value of the file format.
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, cuts_: list[bytes]) -> list[bytes]:
-        """The ids of each cut, as bytes of dtype. Keeps what it has seen, up to LIMIT cuts."""
-        known, out, rest = self.known, [], []
+        """The ids of each cut, as bytes of dtype."""
+        out: list = [None] * len(cuts_)
         tokenizer, plain = self.encoder()
-        if len(known) > self.LIMIT:
-            known.clear()
-        for k, cut in enumerate(cuts_):
-            ids = known.get(cut)
+        if plain:
+            for k in range(0, len(cuts_), self.AT_ONCE):
+                self._lines(cuts_[k : k + self.AT_ONCE], k, plain, out)
+        rest = []
+        for k, ids in enumerate(out):
             if ids is None:
+                cut = cuts_[k]
                 if plain and (cut.isascii() or max(cut) < 0xD4) and not any(x in cut for x in self.special_bytes):
-                    ids = np.array(plain(cut.decode()), self.dtype).tobytes()
-                    if len(cut) < 64:
-                        known[cut] = ids
+                    out[k] = np.array(plain(cut.decode()), self.dtype).tobytes()
                 else:
                     rest.append(k)
-            out.append(ids)
         if rest:
             for k, e in zip(rest, tokenizer.encode_batch([cuts_[k].decode() for k in rest], add_special_tokens=False), strict=True):
                 out[k] = np.array(e.ids, self.dtype).tobytes()
         return out
 
+    def _lines(self, cuts_: list[bytes], at: int, plain, out: list) -> None:
+        """Sets from ``at`` on the ids of cuts that can be encoded together, a line each.
+
+        A line feed between two characters that aren't white space, or before one space and such a character, is a token of
+        its own, and no other token of these lines is that one.
+        """
+        data, offsets = bytes_of(pa.chunked_array([pa.array(cuts_, pa.binary())]))
+        fit = np.diff(offsets) > 0
+        if not fit.any():
+            return
+        starts = np.minimum(offsets[:-1], len(data) - 1)
+        ends = np.maximum(offsets[1:] - 1, 0)
+        padded = np.append(data, np.uint8(0))
+        head = padded[starts + ((data[starts] == 32) & (np.diff(offsets) > 1))]
+        fit &= _SOLID[head] | _LEAD[head]
+        fit &= _SOLID[data[ends]] | (data[ends] >= 0x80) & _LEAD[data[np.maximum(ends - 1, 0)]]
+        unfit = np.concatenate([[0], np.cumsum((data == 10) | (data >= 0xD4))])
+        fit &= unfit[offsets[1:]] == unfit[offsets[:-1]]
+        own = np.flatnonzero(fit).tolist()
+        text = b"\n".join([cuts_[k] for k in own])
+        if any(x in text for x in self.special_bytes):
+            own = [k for k in own if not any(x in cuts_[k] for x in self.special_bytes)]
+            text = b"\n".join([cuts_[k] for k in own])
+        if not own:
+            return
+        ids = np.array(plain(text.decode()), self.dtype)
+        breaks = np.flatnonzero(ids == self.line_feed)
+        if len(breaks) != len(own) - 1:
+            raise RuntimeError("lines of cuts and lines of ids differ in number")
+        raw, size, a = ids.tobytes(), self.dtype.itemsize, 0
+        for k, b in zip(own, [*(breaks * size).tolist(), len(raw)], strict=True):
+            out[at + k] = raw[a:b]
+            a = b + size
+
 
 def byte_of_char() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on."""

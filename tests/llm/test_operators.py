@@ -596,3 +596,27 @@ def test_anchors_of_a_text_of_many_words(monkeypatch):
     at, place, anchor = words.anchored(35, 12)
     assert len(at) == n - 34 and (at <= place).all() and (place <= at + 23).all()
     assert (np.diff(place) >= 0).all() and len(np.unique(anchor[: n - 80])) == 1
+
+
+def test_distinct_cuts_are_encoded_together(tokenizer):
+    """Few calls whatever the number of cuts, and each cut's ids as if it were alone, at edges of every kind."""
+    from tokenizers import Tokenizer
+
+    from lanternfish.llm.tokens import Vocabulary
+
+    vocab, t = Vocabulary(bpe.read_tokenizer(tokenizer)), Tokenizer.from_file(tokenizer)
+    t.no_truncation()
+    t.no_padding()
+    edges = ["", " ", "\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "a", "é", "ж", "̀", "中", "😀", "'s", "'", "--", "1", *vocab.special]
+    cuts = [f"{a}{b}{c}" for a in edges for b in ("", " ", "word", "Ça", "\n", "7x") for c in edges] + [f" w{k}" for k in range(20_000)]
+    cuts = [c.encode() for c in dict.fromkeys(cuts) if c]
+    library, plain = vocab.encoder()
+    assert plain
+    calls = []
+    vocab.encoders = library, lambda text: calls.append(text) or plain(text)
+    vocab.AT_ONCE = 1000
+    got = vocab.encode(cuts)
+    assert len(calls) < len(cuts) / 5 and max(map(len, calls)) < 20_000
+    for cut, ids in zip(cuts, got, strict=True):
+        assert np.frombuffer(ids, vocab.dtype).tolist() == t.encode(cut.decode(), add_special_tokens=False).ids, cut
+    assert vocab.encode([]) == []
