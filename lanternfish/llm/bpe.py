@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from lanternfish.llm.common import documents, from_blob, packed, parts, to_blob
+from lanternfish.llm.textops import binary_array
 from lanternfish.llm.tokens import Cut, vocabulary
 
 #: What encode() can return, by name.
@@ -32,12 +33,25 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
+def values_blob(values: list[bytes]) -> bytes:
+    """Values as one binary and their lengths in one to four bytes each; offsets, which only rise, would hardly be compressed."""
+    n = np.fromiter(map(len, values), np.int64, len(values))
+    size = next(k for k in (1, 2, 4) if n.max(initial=0) < 1 << 8 * k)
+    return to_blob(pa.table({"size": pa.array([size], pa.int8()), "n": pa.array([n.astype(f"<u{size}").tobytes()], pa.binary()), "values": pa.array([b"".join(values)], pa.large_binary())}))
+
+
+def blob_values(blob: bytes) -> pa.Array:
+    row = from_blob(blob).to_pylist()[0]
+    ends = np.cumsum(np.frombuffer(row["n"], f"<u{row['size']}"), dtype=np.int64)
+    return binary_array(np.frombuffer(row["values"], np.uint8), np.concatenate([[0], ends]))
+
+
 def encode(df: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
     """doc_id and the named outputs of each row of df(doc_id, text): ids, decoded (their text), n_tokens and SHA-256 digests."""
     spark = df.sparkSession
     source = spark.sparkContext.broadcast(read_tokenizer(tokenizer))
     n = parts(spark)
-    blocks = packed(documents(df))
+    blocks = packed(documents(df), level=3)
 
     def deal(distinct: list[bytes]) -> list[np.ndarray]:
         """The numbers of the distinct words that each bucket gets."""
@@ -50,16 +64,16 @@ def encode(df: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("ids",)) -
             for b, p in zip(*(batch.column(c).to_pylist() for c in ("_b", "_p")), strict=True):
                 cut = Cut(from_blob(p)["text"])
                 dealt = [(k, [cut.distinct[i] for i in own]) for k, own in enumerate(deal(cut.distinct)) if len(own)]
-                yield pa.RecordBatch.from_pydict({"_b": pa.array([b] * len(dealt), pa.int64()), "_k": pa.array([k for k, _ in dealt], pa.int32()), "_w": pa.array([to_blob(pa.table({"w": pa.array(ws, pa.binary())})) for _, ws in dealt], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"_b": pa.array([b] * len(dealt), pa.int64()), "_k": pa.array([k for k, _ in dealt], pa.int32()), "_w": pa.array([values_blob(ws) for _, ws in dealt], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
         vocab = vocabulary(source.value)
-        asked = [from_blob(p)["w"].combine_chunks() for p in table["_w"].to_pylist()]
+        asked = [blob_values(p) for p in table["_w"].to_pylist()]
         coded = pa.chunked_array(asked).combine_chunks().dictionary_encode()
         ids = pa.array(vocab.encode(coded.dictionary.to_pylist()), pa.binary())
         which, at, out = coded.indices, 0, []
         for a in asked:
-            out.append(to_blob(pa.table({"i": ids.take(which.slice(at, len(a)))})))
+            out.append(values_blob(ids.take(which.slice(at, len(a))).to_pylist()))
             at += len(a)
         return pa.table({"_b": table["_b"], "_k": table["_k"], "_i": pa.array(out, pa.binary())})
 
@@ -73,7 +87,7 @@ def encode(df: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("ids",)) -
             ids: list = [None] * len(cut.distinct)
             for k, own in enumerate(deal(cut.distinct)):
                 if len(own):
-                    back = from_blob(got[k])["i"].to_pylist()
+                    back = blob_values(got[k]).to_pylist()
                     if len(back) != len(own):
                         raise RuntimeError("a block's words and the ids it got back differ in number")
                     for i, x in zip(own.tolist(), back, strict=True):

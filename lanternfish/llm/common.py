@@ -145,9 +145,9 @@ def trim() -> None:
         give_back(0)
 
 
-def to_blob(table: pa.Table) -> bytes:
+def to_blob(table: pa.Table, level: int = 1) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -157,8 +157,8 @@ def from_blob(blob) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all().combine_chunks()
 
 
-def packed(df: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """(_b, _p): blocks of rows in scan order, each compressed into one binary; _b is the partition and a serial number.
+def packed(df: DataFrame, size: int = BLOCK_BYTES, level: int = 1) -> DataFrame:
+    """(_b, _p): blocks of rows in scan order, each compressed (at zstandard's level) into one binary; _b is the partition and a serial number.
 
     The blocks are dealt to partitions by _b. Used more than once in a plan, this shuffle is computed once and reused.
     """
@@ -168,7 +168,7 @@ def packed(df: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
 
         first = TaskContext.get().partitionId() << 32
         for k, table in enumerate(steps(batches, size)):
-            yield pa.RecordBatch.from_pydict({"_b": pa.array([first + k], pa.int64()), "_p": pa.array([to_blob(table)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"_b": pa.array([first + k], pa.int64()), "_p": pa.array([to_blob(table, level)], pa.binary())})
 
     spark = tuned(df.sparkSession)
     return df.mapInArrow(pack, "_b long, _p binary").repartition(parts(spark), "_b")

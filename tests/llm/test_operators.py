@@ -620,3 +620,13 @@ def test_distinct_cuts_are_encoded_together(tokenizer):
     for cut, ids in zip(cuts, got, strict=True):
         assert np.frombuffer(ids, vocab.dtype).tolist() == t.encode(cut.decode(), add_special_tokens=False).ids, cut
     assert vocab.encode([]) == []
+
+
+def test_words_travel_without_offsets():
+    """Values of any length come back, in little more than their own bytes and one for each length."""
+    rng = random.Random(3)
+    for values in ([], [b""], [b"a", b"", b"bc"], [b"x" * 255, b"y"], [b"x" * 256, b"", b"z"], [b"x" * 70_000, b"q"]):
+        assert bpe.blob_values(bpe.values_blob(values)).to_pylist() == values
+    words = [rng.randbytes(rng.randrange(1, 9)) for _ in range(5000)]
+    assert bpe.blob_values(bpe.values_blob(words)).to_pylist() == words
+    assert len(bpe.values_blob(words)) < sum(map(len, words)) + len(words) + 1000
