@@ -35,10 +35,10 @@ p as (select p, greatest(0, cast(floor((0.0 + p / 1000.0::double * (total / 200.
 q as (select p, a, least((select total from n), greatest(b, a + 1)) as b from p where a < (select total from n))"""
 
 
-def _columns(spark, sf_dir):
+def _columns(spark, sf_dir, viewed):
     s = V.signal(spark, sf_dir)
     total = s.agg(F.max("i")).first()[0] + 1
-    view = View(0.0, total / FS, total / FS)
+    view = viewed(total)
     return s, pyramid.columns(pyramid.build(s), s, FS, view, PIXELS, total), view, total
 
 
@@ -53,15 +53,19 @@ select track, cast(p as integer) as pixel, n, low_at, high_at, round(low, 6) + 0
     "signal",
 )
 def viewport_columns(spark, sf_dir):
-    """The whole recording on a screen of 1000 columns, 1200 wide, read from the pyramid."""
-    _, cols, _, _ = _columns(spark, sf_dir)
+    """The whole recording on a screen of 1000 columns, 1200 wide, read from the pyramid.
+
+    Its SQL ends at total / 200 * 200, which for some totals is rounded to one sample less; so does this view.
+    """
+    _, cols, _, _ = _columns(spark, sf_dir, lambda total: View(0.0, total / FS, total / FS))
     out = pyramid.geometry(cols, PIXELS, 1200.0)
     return out.select("track", "pixel", "n", "low_at", "high_at", "low", "high", "low_x", "high_x", "low_from", "high_from").withColumns(r6("low", "high", "low_x", "high_x", "low_from", "high_from"))
 
 
 @query("select track, count(*) as seen, cast(0 as bigint) as outside, true as covers from signal group by track", "signal")
 def columns_cover(spark, sf_dir):
-    s, cols, view, total = _columns(spark, sf_dir)
+    """Whether columns of the whole recording, to its last sample at any total, hold every sample."""
+    s, cols, view, total = _columns(spark, sf_dir, lambda total: View.whole(total, FS))
     return pyramid.covered(s, cols, FS, view, PIXELS, total)
 
 

@@ -42,6 +42,14 @@ class View:
         seconds = within(seconds if math.isfinite(seconds) else USUAL, least, max(total, least))
         return cls(within(start if math.isfinite(start) else 0.0, 0.0, max(0.0, total - seconds)), seconds, total)
 
+    @classmethod
+    def whole(cls, samples: int, fs: float) -> "View":
+        """All of a recording: where samples / fs is rounded down, times fs it can fall a sample short, so the next double is its end."""
+        seconds = samples / fs
+        if seconds * fs < samples:
+            seconds = math.nextafter(seconds, math.inf)
+        return cls(0.0, seconds, seconds)
+
     @property
     def end(self) -> float:
         return self.start + self.seconds

@@ -122,15 +122,19 @@ def ordered_points(shaped: DataFrame) -> DataFrame:
 def covered(samples: DataFrame, cols: DataFrame, fs: float, view: View, pixels: int, total: int, slack: float = 1e-6) -> DataFrame:
     """(track, seen, outside, covers): whether each sample of the viewport lies within the column it belongs to, and none is missed."""
     spark = samples.sparkSession
-    place = spark.createDataFrame(spans(fs, view, pixels, total), "pixel int, a long, b long")
+    cut = spans(fs, view, pixels, total)
+    # A sample that narrow pixels share is seen in the first of them, which starts where the one before ends.
+    place = spark.createDataFrame([(*own, before) for own, before in zip(cut, [0, *(b for _, _, b in cut)], strict=False)], "pixel int, a long, b long, before long")
     a, b = max(0, int(view.start * fs // 1)), min(total, int((view.start + view.seconds) * fs // 1))
     step = view.seconds / pixels * fs
     guess = F.floor((F.col("i") - view.start * fs) / step).cast("int")
     # Rounding can put a sample one pixel off, and narrow pixels share samples.
     reach = max(1, int(1 / step) + 1) if step else 1
     near = samples.where(F.col("i").between(a, b - 1)).withColumn("pixel", F.explode(F.sequence(guess - reach, guess + reach)))
-    found = near.join(F.broadcast(place), "pixel").where((F.col("i") >= F.col("a")) & (F.col("i") < F.col("b"))).join(cols.select("track", "pixel", "low", "high"), ["track", "pixel"])
+    found = near.join(F.broadcast(place), "pixel").where((F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")))
+    # Samples without a track are a track of their own.
+    found = found.join(cols.select(F.col("track").alias("own"), F.col("pixel").alias("column"), "low", "high"), (F.col("pixel") == F.col("column")) & F.col("track").eqNullSafe(F.col("own")))
     bad = (F.col("v") < F.col("low") - slack) | (F.col("v") > F.col("high") + slack)
-    out = found.groupBy("track").agg(F.count_distinct("i").alias("seen"), F.count_if(bad).alias("outside"))
+    out = found.groupBy(F.col("track").alias("own")).agg(F.count_if(F.col("i") >= F.col("before")).alias("seen"), F.count_if(bad).alias("outside"))
     wanted = samples.where(F.col("i").between(a, b - 1)).groupBy("track").agg(F.count("*").alias("wanted"))
-    return wanted.join(out, "track", "left").select("track", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("outside", F.lit(0)).alias("outside"), ((F.coalesce("seen", F.lit(0)) == F.col("wanted")) & (F.coalesce("outside", F.lit(0)) == 0)).alias("covers"))
+    return wanted.join(out, F.col("track").eqNullSafe(F.col("own")), "left").select("track", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("outside", F.lit(0)).alias("outside"), ((F.coalesce("seen", F.lit(0)) == F.col("wanted")) & (F.coalesce("outside", F.lit(0)) == 0)).alias("covers"))

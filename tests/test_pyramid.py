@@ -76,3 +76,43 @@ def test_geometry_and_points(spark):
     assert (a.x, a.x1, a.low_x, a.high_x) == (20.0, 30.0, 27.5, 22.5) and (a.low_from, a.high_from) == (2.5, 1.5) and b.low_from is None and b.high_from is None
     points = [(r.pixel, r.x, r.value) for r in pyramid.ordered_points(shaped).orderBy("pixel", "k").collect()]
     assert points == [(2, 20.0, 1.0), (2, 22.5, 9.0), (2, 27.5, 0.0), (2, 30.0, 3.0), (3, 30.0, 4.0), (3, 40.0, 4.0)]
+
+
+@pytest.mark.parametrize("lengths", [{0: 29, 1: 3, None: 5}, {2: 57, 3: 57}, {4: 4}])
+def test_cover_of_whole_recordings(spark, tmp_path, lengths):
+    """29 or 57 vectors of 64 samples, divided by 200 and multiplied again, give one sample less; a track may have no label."""
+    import duckdb
+
+    from lanternfish.catalog import ORACLE, QUERIES
+
+    rows = [(label, n) for label, n in lengths.items() for _ in range(n)]
+    made = f"select k as vec_id, cast(labels[k + 1] as int) as label, list_transform(range(0, 64), lambda j: cast((j * 7 + k * 5) % 23 - 11 as float)) as embedding from (select {[label for label, _ in rows]!r} as labels), range(0, {len(rows)}) r(k)".replace("None", "null")
+    con = duckdb.connect()
+    con.sql(f"copy ({made}) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    for name in ("columns_cover", "viewport_columns"):
+        got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE[name])
+        order = lambda rows: sorted(rows, key=str)
+        assert order(tuple(r) for r in got.select(*want.columns).collect()) == order(want.fetchall())
+
+
+def test_whole_view_ends_after_the_last_sample():
+    short = 0
+    for fs in (200.0, 256.0, 99.7):
+        for n in (*range(0, 5000), 13_298 * 64, 2**40 + 9):
+            view = View.whole(n, fs)
+            assert int(view.seconds * fs // 1) == n and view.total == view.seconds
+            short += int(n / fs * fs // 1) < n
+    assert short > 100
+
+
+@pytest.mark.parametrize("pixels", [7, 60, 3000])
+def test_samples_at_one_place_are_all_seen(spark, pixels):
+    """Repeated places, and pixels narrower than a sample: each sample counts once, a missing column is told."""
+    twice = spark.createDataFrame([("a", i, float(i % 7)) for i in range(400)] + [("a", i, 3.0) for i in range(0, 400, 4)] + [(None, i, 1.0) for i in range(50)], "track string, i long, v double")
+    view = View.whole(400, 200.0)
+    cols = pyramid.columns(pyramid.build(twice), twice, 200.0, view, pixels, 400).cache()
+    checked = lambda cols: {r.track: (r.seen, r.outside, r.covers) for r in pyramid.covered(twice, cols, 200.0, view, pixels, 400).collect()}
+    assert checked(cols) == {"a": (500, 0, True), None: (50, 0, True)}
+    few = checked(cols.where("track is null or start < 300"))
+    assert few[None] == (50, 0, True) and not few["a"][2] and few["a"][0] < 500
