@@ -35,8 +35,8 @@ p as (select p, greatest(0, cast(floor((0.0 + p / 1000.0::double * (total / 200.
 q as (select p, a, least((select total from n), greatest(b, a + 1)) as b from p where a < (select total from n))"""
 
 
-def _columns(spark, sf_dir, viewed):
-    s = V.signal(spark, sf_dir)
+def _columns(spark, sf_dir, viewed, *ties):
+    s = V.signal(spark, sf_dir, *ties)
     total = s.agg(F.max("i")).first()[0] + 1
     view = viewed(total)
     return s, pyramid.columns(pyramid.build(s), s, FS, view, PIXELS, total), view, total
@@ -64,8 +64,11 @@ def viewport_columns(spark, sf_dir):
 
 @query("select track, count(*) as seen, cast(0 as bigint) as outside, true as covers from signal group by track", "signal")
 def columns_cover(spark, sf_dir):
-    """Whether columns of the whole recording, to its last sample at any total, hold every sample."""
-    s, cols, view, total = _columns(spark, sf_dir, lambda total: View.whole(total, FS))
+    """Whether columns of the whole recording, to its last sample at any total, hold every sample.
+
+    Both are made from numbered vectors, each by itself, so those of one vec_id are numbered by what they hold.
+    """
+    s, cols, view, total = _columns(spark, sf_dir, lambda total: View.whole(total, FS), "embedding")
     return pyramid.covered(s, cols, FS, view, PIXELS, total)
 
 

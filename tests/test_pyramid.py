@@ -116,3 +116,18 @@ def test_samples_at_one_place_are_all_seen(spark, pixels):
     assert checked(cols) == {"a": (500, 0, True), None: (50, 0, True)}
     few = checked(cols.where("track is null or start < 300"))
     assert few[None] == (50, 0, True) and not few["a"][2] and few["a"][0] < 500
+
+
+def test_cover_does_not_hang_on_the_order_of_vectors_of_one_id(spark, tmp_path, monkeypatch):
+    """Samples and columns are read apart: in a cluster rows of one vec_id come in another order each time."""
+    from lanternfish import catalog_chunks
+    from lanternfish.operators import pyramid as P
+
+    rows = [(k // 10, k % 2, [float((k * 13 + j * 7) % 101) for j in range(8)]) for k in range(300)]
+    for name, order in (("a", rows), ("b", rows[::-1])):
+        spark.createDataFrame(order, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+    asked, signal = [], catalog_chunks.V.signal
+    monkeypatch.setattr(catalog_chunks.V, "signal", lambda spark, sf_dir, *ties: asked.append(ties) or signal(spark, sf_dir, *ties))
+    monkeypatch.setattr(catalog_chunks.pyramid, "covered", lambda s, *more, covered=P.covered: covered(signal(spark, f"{tmp_path}/b", *asked[0]), *more))
+    got = catalog_chunks.columns_cover(spark, f"{tmp_path}/a").collect()
+    assert sorted((r.track, r.seen, r.outside, r.covers) for r in got) == [(0, 1200, 0, True), (1, 1200, 0, True)]
